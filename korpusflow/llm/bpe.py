@@ -28,7 +28,7 @@ from korpusflow.llm.common import batches_of, texts_of
 #: The pattern by which the vocabulary's library cuts text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a worker's caches hold before they start anew.
-MOST_CACHED = 250_000
+MOST_CACHED = 300_000
 _NONE = -1
 
 
@@ -44,8 +44,10 @@ LONGEST_CACHED = 64
 #: White space other than the space and the line end.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SEGMENT = re.compile(r"\s*\S+|\s+\Z")
+#: Characters that are a token of their own at the end of a word of letters.
+ENDS = frozenset(".,;:!?")
 #: Marks a segment that stands for itself; a text's own are escaped by the slow way.
-_SELF = "\0"
+SELF = "\0"
 
 
 def segments(text: str) -> list[str]:
@@ -57,16 +59,16 @@ def segments(text: str) -> list[str]:
     """
     if not text:
         return []
-    if _SELF in text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
-        return [_SELF + x for x in _SEGMENT.findall(text)]
+    if SELF in text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+        return [SELF + x for x in _SEGMENT.findall(text)]
     out = text.replace("\n", " \n").split(" ")  # what follows a space goes without it
-    out[0] = _SELF + out[0]
+    out[0] = SELF + out[0]
     return out
 
 
 def unkeyed(segment: str) -> str:
     first = segment[:1]
-    return segment[1:] if first == _SELF else segment if first == "\n" else " " + segment
+    return segment[1:] if first == SELF else segment if first == "\n" else " " + segment
 
 
 class Vocabulary:
@@ -135,7 +137,7 @@ class Compatible(dict):
 
     def __missing__(self, pair: tuple[int, int]) -> bool:
         good = self.seam(*pair, 1 << 60)
-        if len(self) >= 2 * MOST_CACHED:
+        if len(self) >= MOST_CACHED:
             self.clear()
         self[pair] = good
         return good
@@ -175,48 +177,74 @@ class Encoder:
         self.whole = of
         self.shorter = {i: next((of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in of), _NONE) for t, i in of.items()}
         self.size = [len(t) for t in v.tokens]
+        #: For each node of the automaton, by its bytes: the longest token on the way to it.
+        self.node: dict[str, int] = {}
+        for t in of:
+            best = _NONE
+            for k in range(1, len(t) + 1):
+                best = of.get(t[:k], best)
+                self.node[t[:k].decode("latin-1")] = best
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.line_end, *ends = (array("I", [v.ids[x.encode()]]).tobytes() for x in ("\n", *ENDS))
+        self.end_ids = dict(zip(ENDS, ends, strict=True))
         lengths = np.array([len(t) for t in v.tokens], dtype=np.int64)
         #: Decoding: token i is blob[offset[i] : offset[i + 1]].
         self.blob = np.frombuffer(b"".join(v.tokens), dtype=np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
 
-    def longest(self, word: str) -> list[int]:
-        """At each place the longest token that starts there, by one pass of the automaton."""
-        at = [_NONE] * len(word)
-        for end, (n, i) in self.trie.iter(word):  # every token that ends at `end`; later ends are longer
-            at[end - n + 1] = i
-        return at
-
     def encode_word(self, word: bytes) -> list[int]:
-        if len(word) < 16 and (whole := self.whole.get(word)) is not None:
+        """The longest token at each place that fits the one before; where none does, a step back."""
+        if (whole := self.whole.get(word)) is not None:
             return [whole]
-        first, size, shorter, fits = self.longest(word.decode("latin-1")), self.size, self.shorter, self.fits
+        longest, node, shorter, fits, size = self.trie.longest_prefix, self.node, self.shorter, self.fits, self.size
+        text = rest = word.decode("latin-1")
+        token, last, at, n = node[rest[: longest(rest)]], -1, 0, len(word)
         out: list[int] = []
-        dead = bytearray(len(word) + 1)
-        at, token = 0, first[0]
-        while at < len(word):
+        dead: set[int] = set()
+        while True:
             end = at + size[token]
-            if not dead[end] and (not out or fits[out[-1], token]):
+            if (last < 0 or fits[last, token]) and end not in dead:
                 out.append(token)
-                at = end
-                token = first[at] if at < len(word) else _NONE
+                if end == n:
+                    return out
+                at, last, rest = end, token, text[end:]
+                token = node[rest[: longest(rest)]]
                 continue
             token = shorter[token]
-            if token == _NONE:  # nothing fits here: this place can't be a seam after that token
-                dead[at] = 1
+            while token == _NONE:  # nothing fits here: this place can't be a seam
+                dead.add(at)
                 token = out.pop()
                 at -= size[token]
-                # the token just removed reaches a dead place, so the next turn takes a shorter one
-        return out
+                last = out[-1] if out else -1
+                token = shorter[token]
 
     def segment_ids(self, segment: str) -> bytes:
-        ids = array("I", [i for word in self.v.words.findall(unkeyed(segment)) for i in self.encode_word(word.encode())]).tobytes()
+        """A segment's ids; common shapes are put together from shorter segments."""
+        if ids := self.before.get(segment):
+            self.keep(segment, ids)
+            return ids
+        if segment.isalpha():
+            ids = array("I", self.encode_word(b" " + segment.encode())).tobytes()
+        elif segment[-1:] in ENDS and (word := segment[:-1]).isalpha():
+            return (self.cache.get(word) or self.segment_ids(word)) + self.end_ids[segment[-1]]
+        elif segment[0] == "\n":
+            return self.line_end + self.ids(SELF + segment[1:])
+        else:
+            ids = array("I", [i for word in self.v.words.findall(unkeyed(segment)) for i in self.encode_word(word.encode())]).tobytes()
+        self.keep(segment, ids)
+        return ids
+
+    def keep(self, segment: str, ids: bytes) -> None:
+        """Remembers; when the cache is full, what isn't met again while it fills anew is forgotten."""
         if len(segment) <= LONGEST_CACHED:
             if len(self.cache) >= MOST_CACHED:
+                self.before = dict(self.cache)
                 self.cache.clear()
             self.cache[segment] = ids
-        return ids
+
+    def ids(self, segment: str) -> bytes:
+        return self.cache.get(segment) or self.segment_ids(segment)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

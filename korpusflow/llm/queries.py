@@ -8,8 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from korpusflow.llm.bpe import bpe_encode
+from korpusflow.llm.chat import chat_format
 from korpusflow.llm.exact_dedup import exact_dedup
+from korpusflow.llm.licenses import license_scan
+from korpusflow.llm.lm import score_texts
 from korpusflow.llm.packing import pack
+from korpusflow.llm.quality_model import quality_classifier
+from korpusflow.llm.quality_rules import quality_rules
 from korpusflow.llm.simhash import simhash_groups
 from korpusflow.llm.token_counts import token_counts
 
@@ -24,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"), digest_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), ids=False)
 
@@ -32,16 +41,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(documents(spark, sf_dir)).select("doc_id", "weak_label", "score", "kept")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_simhash, op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ctw, op3_bpe, op4_simhash, op5_license_scan, op6_token_counts, op7_quality_classifier, op8_quality_rules, op9_chat_format, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

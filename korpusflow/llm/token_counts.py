@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.bpe import LONGEST_CACHED, encoder, segments, unkeyed
+from korpusflow.llm.bpe import ENDS, LONGEST_CACHED, SELF, encoder, segments, unkeyed
 from korpusflow.llm.common import batches_of, texts_of
 
 #: Characters of a chunk.
@@ -81,13 +81,24 @@ class CountTransducer:
         """Tokens of one segment (see bpe.segments)."""
         if len(self.states) > MOST_STATES:
             self.restart()
-        n = sum(self.word(w.encode()) for w in self.vocabulary.words.findall(unkeyed(key)))
+        if key.isalpha():
+            n = self.word(b" " + key.encode())
+        elif key[-1:] in ENDS and key[:-1].isalpha():
+            n = self.known(key[:-1]) + 1
+        elif key[0] == "\n":
+            n = 1 + self.known(SELF + key[1:])
+        else:
+            n = sum(self.word(w.encode()) for w in self.vocabulary.words.findall(unkeyed(key)))
         if len(key) <= LONGEST_CACHED:
             if len(self.counts) >= MOST_COUNTS:
                 self.counts.clear()
             self.counts[key] = n
         return n
 
+    def known(self, key: str) -> int:
+        n = self.counts.get(key)
+        return self.segment(key) if n is None else n
+
     def text(self, text: str) -> int:
         """Tokens of a text that begins and ends where a token must."""
         known, make, added = self.counts.get, self.segment, self.vocabulary.added
