@@ -1,4 +1,303 @@
-"""The queries of the engine, with the same in DuckDB SQL."""
+"""The engine's queries over the driver's tables, with the same in DuckDB SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from korpusflow.functions import text as T
+from korpusflow.operators import concordance, frequency, morphology, ngrams, patterns, report, search
+from korpusflow.sources import corpus as C
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: A small dictionary over the documents' commonest words.
+LEXEMES = [
+    (1, "the", "PRCL", ["PRCL"]), (2, "of", "PREP", ["PREP"]), (3, "and", "CONJ", ["CONJ"]), (4, "be", "VERB", ["VERB"]), (5, "la", "NOUN", ["NOUN"]),
+    (6, "la", "NPRO", ["NPRO"]), (7, "der", "ADJF", ["ADJF"]), (8, "being", "GRND", ["GRND"]), (9, "to", "PREP", ["PREP"]), (10, "will", "NOUN", ["NOUN"]), (11, "que", "CONJ", ["CONJ"]),
+]
+FORMS = [
+    (1, 0, "the", ["PRCL"]), (2, 0, "of", ["PREP"]), (3, 0, "and", ["CONJ"]), (3, 1, "und", ["CONJ"]), (3, 2, "et", ["CONJ"]), (4, 0, "is", ["VERB", "pres", "sing"]), (4, 1, "are", ["VERB", "pres", "plur"]),
+    (4, 2, "was", ["VERB", "past", "sing"]), (5, 0, "la", ["NOUN", "sing"]), (6, 0, "la", ["NPRO", "sing"]), (7, 0, "der", ["ADJF", "masc"]), (7, 1, "die", ["ADJF", "femn"]), (8, 0, "ing", ["GRND", "pres"]),
+    (9, 0, "to", ["PREP"]), (10, 0, "on", ["NOUN", "sing"]), (11, 0, "que", ["CONJ"]),
+]
+LINKS = [(4, 8, 5), (1, 2, 7)]
+FREQUENCIES = [("la", "s", 5.0, 0), ("la", "spro", 10.0, 1), ("being", "v", 900.0, 2), ("the", "part", 100.0, 3), ("the", "part", 50.0, 4)]
+#: What the dictionary makes of each surface: form's lemma, its part of speech, grammemes, lemma, part of speech.
+RESOLUTION = [
+    ("the", "the", "PRCL", "PRCL", "the", "PRCL"), ("of", "of", "PREP", "PREP", "of", "PREP"), ("and", "and", "CONJ", "CONJ", "and", "CONJ"), ("und", "and", "CONJ", "CONJ", "and", "CONJ"),
+    ("et", "and", "CONJ", "CONJ", "and", "CONJ"), ("is", "be", "VERB", "VERB pres sing", "be", "VERB"), ("are", "be", "VERB", "VERB plur pres", "be", "VERB"), ("was", "be", "VERB", "VERB past sing", "be", "VERB"),
+    ("la", "la", "NPRO", "NPRO sing", "la", "NPRO"), ("der", "der", "ADJF", "ADJF masc", "der", "ADJF"), ("die", "der", "ADJF", "ADJF femn", "der", "ADJF"), ("ing", "being", "GRND", "GRND pres", "be", "VERB"),
+    ("to", "to", "PREP", "PREP", "to", "PREP"), ("on", "will", "NOUN", "NOUN sing", "will", "NOUN"), ("que", "que", "CONJ", "CONJ", "que", "CONJ"),
+]
+THESAURUS = [("der", "be", 0), ("der", "will", 1), ("to", "will", 2)]
+MODELS = [
+    ("be NOUN", [{"lemma": "be"}, {"grammemes": ["NOUN"]}]), ("der any", [{"lemma": "der"}, {}]), ("the was", [{"wordform": "the"}, {"wordform": "was"}]),
+    ("past VERB PREP", [{"grammemes": ["VERB", "past"]}, {"grammemes": ["PREP"]}]), ("never", [{"lemma": "no such lemma"}]),
+]
+FUNCTION = "('NPRO', 'PREP', 'CONJ', 'PRCL', 'INTJ')"
+
+
+def toy(spark: SparkSession) -> morphology.Dictionary:
+    return morphology.Dictionary.of(spark, LEXEMES, FORMS, LINKS, FREQUENCIES)
+
+
+def toy_thesaurus(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(THESAURUS, "head string, synonym string, ord long")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.table_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def _tok(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTEs: docs(doc_id, w), tok(doc_id, surface, i, n)."""
+    return f"""docs AS (SELECT {key} AS doc_id, {T.sql_tokens(text)} AS w FROM {table}),
+        tok AS (SELECT doc_id, unnest(w) AS surface, unnest(range(len(w))) AS i, len(w) AS n FROM docs),
+        total AS (SELECT CAST(sum(len(w)) AS DOUBLE) AS words, CAST(count(*) AS DOUBLE) AS files FROM docs)"""
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+_ANN = f"""ann AS (SELECT t.*, coalesce(form_lemma, surface) AS form_lemma, coalesce(form_pos, 'UNKN') AS form_pos, coalesce(grammemes, '') AS grammemes,
+        coalesce(lemma, surface) AS lemma, coalesce(pos, 'UNKN') AS pos
+        FROM tok t LEFT JOIN (SELECT * FROM {_values(RESOLUTION)} r(form, form_lemma, form_pos, grammemes, lemma, pos)) r ON t.surface = r.form)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {_tok()} SELECT doc_id, CAST(i AS INTEGER) AS \"at\", surface FROM tok")
+def tokenize(spark, d):
+    return C.token_table(documents(spark, d))
+
+
+@query(f"""WITH {_tok()}, raw AS (SELECT DISTINCT unnest(string_split_regex(text, '{T.SEPARATORS}')) AS x FROM documents)
+    SELECT x, translate(x, '{T.UPPER}', '{T.LOWER}') AS low, translate(x, 'ёЁ', 'еЕ') AS plain, replace(x, chr(769), '') AS unaccented, CAST(length(x) AS INTEGER) AS size FROM raw""")
+def normalize_variants(spark, d):
+    x = F.col("x")
+    raw = documents(spark, d).select(F.explode(F.split("text", T.SEPARATORS)).alias("x")).distinct()
+    return raw.select("x", T.lowered(x).alias("low"), T.deyotized(x).alias("plain"), T.unaccented(x).alias("unaccented"), F.char_length("x").alias("size"))
+
+
+@query(f"WITH {_tok()} SELECT CAST(words AS BIGINT) AS total_words, CAST(files AS BIGINT) AS total_files FROM total")
+def corpus_stats(spark, d):
+    return C.totals(documents(spark, d))
+
+
+@query(f"WITH {_tok()} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens FROM docs")
+def doc_lengths(spark, d):
+    return C.lengths(documents(spark, d))
+
+
+def _frequency_sql(where: str, ann: bool, tok: str = "") -> str:
+    source, extra = ("ann", f", {_ANN}") if ann else ("(SELECT *, surface AS lemma, 'UNKN' AS pos FROM tok)", "")
+    return f"""WITH {tok or _tok()}{extra} SELECT lemma, pos, count(*) AS occ, round(count(*) * 1e6 / any_value(words), 6) AS ipm, count(DISTINCT doc_id) AS texts
+        FROM {source}, total WHERE {where} GROUP BY lemma, pos"""
+
+
+@query(_frequency_sql("true", False))
+def lemma_frequency(spark, d):
+    return frequency.frequency_list(documents(spark, d))
+
+
+@query(_frequency_sql("pos <> 'UNKN'", True))
+def lemma_frequency_known(spark, d):
+    return frequency.frequency_list(documents(spark, d), toy(spark), frequency.known)
+
+
+@query(_frequency_sql(f"pos <> 'UNKN' AND pos NOT IN {FUNCTION}", True))
+def lemma_frequency_no_function_words(spark, d):
+    return frequency.frequency_list(documents(spark, d), toy(spark), frequency.content)
+
+
+@query(_frequency_sql("pos = 'UNKN'", True))
+def unknown_frequency(spark, d):
+    return frequency.frequency_list(documents(spark, d), toy(spark), frequency.unknown)
+
+
+@query(f"WITH {_tok()} SELECT surface AS lemma, count(DISTINCT doc_id) AS df FROM tok GROUP BY surface")
+def document_frequency(spark, d):
+    return frequency.postings(documents(spark, d)).groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"WITH {_tok()}, {_ANN} SELECT lemma, doc_id, count(*) AS tf FROM ann GROUP BY lemma, doc_id")
+def postings(spark, d):
+    return frequency.postings(documents(spark, d), toy(spark))
+
+
+def _concordance_sql(phrase: list[str], context: int, threshold: int, side: str, ann: bool) -> str:
+    m = len(phrase)
+    source = f", {_ANN}, lem AS (SELECT doc_id, list(lemma ORDER BY i) AS w FROM ann GROUP BY doc_id)" if ann else ", lem AS (SELECT doc_id, w FROM docs)"
+    return f"""WITH {_tok()}{source}, places AS (SELECT doc_id, w, unnest(range(1, len(w) - {m} + 2)) AS p FROM lem WHERE len(w) >= {m}),
+        hit AS (SELECT w, p FROM places WHERE {' AND '.join(f"w[p + {k}] = '{x}'" for k, x in enumerate(phrase))}),
+        cut AS (SELECT w, p, a, b FROM hit, range(0, {context + 1}) ra(a), range(0, {context + 1}) rb(b) WHERE a + b BETWEEN 1 AND {context} AND {side} AND a < p AND p + {m} - 1 + b <= len(w))
+        SELECT CASE WHEN a > 0 THEN array_to_string(w[p - a:p - 1], ' ') ELSE '' END AS "left", CASE WHEN b > 0 THEN array_to_string(w[p + {m}:p + {m} - 1 + b], ' ') ELSE '' END AS "right", count(*) AS freq
+        FROM cut GROUP BY 1, 2 HAVING count(*) >= {threshold}"""
+
+
+@query(_concordance_sql(["the", "the"], 2, 2, "b = 0", False))
+def concordance_left(spark, d):
+    return concordance.concordance(documents(spark, d), "the the", 2, 2, "left")
+
+
+@query(_concordance_sql(["the", "the"], 2, 1, "a = 0", False))
+def concordance_right(spark, d):
+    return concordance.concordance(documents(spark, d), "The the", 2, 1, "right")
+
+
+@query(_concordance_sql(["be"], 2, 1, "a > 0 AND b > 0", True))
+def concordance_both(spark, d):
+    return concordance.concordance(documents(spark, d), "was", 2, 1, "both", toy(spark))
+
+
+@query(f"WITH {_tok()} SELECT doc_id, CAST(p - 1 AS BIGINT) AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM docs WHERE len(w) > 1) WHERE w[p] = 'of' AND w[p + 1] = 'the'")
+def phrase_match_positions(spark, d):
+    return concordance.matches(documents(spark, d), "of the").select("doc_id", "pos")
+
+
+@query(f"""WITH {_tok()}, g AS (SELECT doc_id, surface || ' ' || lead(surface) OVER (PARTITION BY doc_id ORDER BY i) AS gram, i, n FROM tok)
+    SELECT gram, count(*) AS occ, count(DISTINCT doc_id) AS df, round(count(*) / any_value(words) * ln(any_value(files) / count(DISTINCT doc_id)), 6) AS tfidf FROM g, total WHERE i + 1 < n GROUP BY gram""")
+def bigrams_tfidf(spark, d):
+    docs = documents(spark, d)
+    total = C.totals(docs).first()
+    tfidf = F.col("occ") / F.lit(float(total["total_words"])) * F.ln(F.lit(float(total["total_files"])) / F.col("df"))
+    return ngrams.gram_counts(docs, 2).select("gram", "occ", "df", F.round(tfidf, 6).alias("tfidf"))
+
+
+def _stable_sql(max_n: int, f: int, s: float, where: str) -> str:
+    return f"""WITH {_tok()}, g AS (SELECT doc_id, array_to_string(w[p:p + k - 1], ' ') AS gram, k AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM docs), range(2, {max_n + 2}) r(k) WHERE p + k - 1 <= len(w)),
+        c AS (SELECT gram, n, count(*) AS occ, count(DISTINCT doc_id) AS df FROM g GROUP BY gram, n),
+        e AS (SELECT gram, max(occ) AS ext FROM (SELECT array_to_string(list_slice(string_split(gram, ' '), 1, n - 1), ' ') AS gram, occ FROM c WHERE n > 2
+              UNION ALL SELECT array_to_string(list_slice(string_split(gram, ' '), 2, n), ' '), occ FROM c WHERE n > 2) GROUP BY gram),
+        stable AS (SELECT c.*, ext FROM c LEFT JOIN e USING (gram) WHERE n <= {max_n} AND occ >= {f} AND (ext IS NULL OR CAST(ext AS FLOAT) <= CAST(occ AS FLOAT) * CAST({s} AS FLOAT)))
+        SELECT gram, n, occ, df, round(occ / words * ln(files / df), 6) AS tfidf FROM stable, total WHERE {where}"""
+
+
+@query(_stable_sql(3, 5, 0.7, "true"))
+def stable_ngrams(spark, d):
+    return ngrams.stable_ngrams(documents(spark, d), 3, 5, 0.7)
+
+
+@query(_stable_sql(3, 5, 0.7, "list_contains(string_split(gram, ' '), 'der')"))
+def stable_ngrams_containing(spark, d):
+    return ngrams.lookup(ngrams.stable_ngrams(documents(spark, d), 3, 5, 0.7), ["der"])
+
+
+_PHRASE = "released under the mit license".split()
+_INSIDE = ", ".join(repr(" ".join(_PHRASE[a:b])) for a in range(5) for b in range(a + 2, 6))
+
+
+@query(_stable_sql(5, 3, 0.9, f"gram IN ({_INSIDE}) AND EXISTS (SELECT 1 FROM stable WHERE gram = '{' '.join(_PHRASE)}')"))
+def stable_ngram_lookup_nested(spark, d):
+    return ngrams.lookup(ngrams.stable_ngrams(documents(spark, d), 5, 3, 0.9), _PHRASE)
+
+
+_FOLD = "fold AS (SELECT a.*, CASE lemma WHEN 'be' THEN 'der' WHEN 'will' THEN 'to' ELSE lemma END AS folded FROM ann a)"
+
+
+def _pattern_sql(fold: bool) -> str:
+    source = _FOLD if fold else "fold AS (SELECT a.*, lemma AS folded FROM ann a)"
+    lemma = lambda k, x: f"(folded{k} = '{x}' OR form_lemma{k} = '{x}')"
+    has = lambda k, g: f"list_contains(string_split(grammemes{k}, ' '), '{g}')"
+    tests = [
+        ("be NOUN", 2, f"{lemma(0, 'be')} AND {has(1, 'NOUN')}"), ("der any", 2, lemma(0, "der")), ("the was", 2, "surface0 = 'the' AND surface1 = 'was'"),
+        ("past VERB PREP", 2, f"{has(0, 'VERB')} AND {has(0, 'past')} AND {has(1, 'PREP')}"), ("never", 1, lemma(0, "no such lemma")),
+    ]
+    columns = ", ".join(f"{c} AS {c}0, lead({c}) OVER w AS {c}1" for c in ("surface", "form_lemma", "grammemes", "folded"))
+    hits = " UNION ALL ".join(f"SELECT '{name}' AS model, doc_id, i AS pos, {'surface0' if m == 1 else chr(32).join(['surface0', '||', repr(' '), '||', 'surface1'])} AS forms FROM win WHERE i + {m} < n AND {t}" for name, m, t in tests)
+    return f"WITH {_tok()}, {_ANN}, {source}, win AS (SELECT doc_id, i, n, {columns} FROM fold WINDOW w AS (PARTITION BY doc_id ORDER BY i)), hits AS ({hits})"
+
+
+@query(_pattern_sql(False) + " SELECT * FROM hits")
+def pattern_match_hits(spark, d):
+    return patterns.pattern_hits(documents(spark, d), MODELS, toy(spark))
+
+
+@query(_pattern_sql(True) + " SELECT * FROM hits")
+def pattern_synonyms(spark, d):
+    return patterns.pattern_hits(documents(spark, d), MODELS, toy(spark), toy_thesaurus(spark))
+
+
+@query(_pattern_sql(True) + f""" SELECT m.model, count(h.doc_id) AS freq, count(DISTINCT h.doc_id) AS texts,
+    CASE WHEN count(h.doc_id) > 0 THEN round(count(h.doc_id) / any_value(words) * ln(any_value(files) / count(DISTINCT h.doc_id)), 6) END AS tfidf
+    FROM {_values([(name,) for name, _ in MODELS])} m(model) LEFT JOIN hits h ON m.model = h.model, total GROUP BY m.model""")
+def pattern_match_tfidf(spark, d):
+    return patterns.pattern_stats(documents(spark, d), MODELS, toy(spark), toy_thesaurus(spark))
+
+
+def _bm25_sql(terms: list[str], ann: bool) -> str:
+    source = f", {_ANN}" if ann else ", ann AS (SELECT *, surface AS lemma FROM tok)"
+    return f"""WITH {_tok()}{source}, tf AS (SELECT lemma, doc_id, count(*) AS tf, any_value(n) AS n FROM ann WHERE lemma IN ({', '.join(f"'{t}'" for t in terms)}) GROUP BY lemma, doc_id),
+        df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY lemma)
+        SELECT doc_id, score FROM (SELECT doc_id, round(sum(ln((files - df + 0.5) / (df + 0.5)) * (tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * n / (words / files))))), 6) AS score FROM tf JOIN df USING (lemma), total GROUP BY doc_id) WHERE score > 0"""
+
+
+@query(_bm25_sql(["der", "die", "und", "la", "the"], False))
+def bm25_search(spark, d):
+    return search.bm25(documents(spark, d), "Der die und la the")
+
+
+@query(_bm25_sql(["der", "be", "will", "est"], True))
+def bm25_search_expanded(spark, d):
+    return search.bm25(documents(spark, d), "die the est", toy(spark), toy_thesaurus(spark))
+
+
+@query("""WITH RECURSIVE e(child, parent) AS (VALUES (2, 1), (3, 2), (4, 2), (5, 4), (5, 6)), up(lexeme_id, node) AS (SELECT child, parent FROM e UNION SELECT lexeme_id, parent FROM up JOIN e ON node = child)
+    SELECT DISTINCT CAST(lexeme_id AS BIGINT) AS lexeme_id, CAST(node AS BIGINT) AS root_id FROM up WHERE node NOT IN (SELECT child FROM e)""")
+def dict_link_roots(spark, d):
+    return morphology.link_roots(spark.createDataFrame([(1, 2, 3), (2, 3, 0), (2, 4, 1), (4, 5, 27), (6, 5, 5), (1, 7, 7), (1, 7, 99)], "src long, dst long, type int"))
+
+
+@query(f"SELECT surface, form_lemma, form_pos, grammemes, lemma, pos FROM {_values(RESOLUTION)} r(surface, form_lemma, form_pos, grammemes, lemma, pos)")
+def dict_disambiguate(spark, d):
+    return toy(spark).resolution().select("surface", "form_lemma", "form_pos", F.array_join(F.array_sort("grammemes"), " ").alias("grammemes"), "lemma", "pos")
+
+
+@query("SELECT * FROM (VALUES (CAST(5 AS BIGINT), CAST(5.0 AS DOUBLE)), (6, 10.0), (1, 50.0)) r(lexeme_id, freq)")
+def dict_frequency_overlay(spark, d):
+    return toy(spark).lexeme_freq().select("lexeme_id", F.col("freq").cast("double").alias("freq"))
+
+
+@query("SELECT * FROM (VALUES ('самолёт', 'самолёт', 0), ('самолет', 'самолёт', 1), ('все', 'все', 0), ('Еж', 'Ёж', 1), ('Ёж', 'Ёж', 0)) r(\"key\", form, yo)")
+def dict_yo_keys(spark, d):
+    forms = [(1, 0, "самолёт", []), (2, 0, "все", []), (3, 0, "Ёж", [])]
+    return morphology.Dictionary.of(spark, [], forms, [], []).form_keys().select("key", "form", "yo")
+
+
+@query(f"""WITH f AS ({_frequency_sql("true", True)})
+    SELECT lemma, pos, (CASE WHEN length(lemma) > 20 THEN left(lemma, 19) || '…' ELSE rpad(lemma, 20, ' ') END) || rpad(pos, 8, ' ') || lpad(format('{{:.6f}}', ipm), 16, ' ') || lpad(CAST(texts AS VARCHAR), 8, ' ') AS line FROM f""")
+def report_format(spark, d):
+    return report.frequency_lines(frequency.frequency_list(documents(spark, d), toy(spark), ordered=False))
+
+
+_CONV = _tok("conversations", "CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)")
+
+
+@query(_frequency_sql("true", False, _CONV))
+def conversations_frequency(spark, d):
+    t = spark.read.parquet(f"{d}/conversations.parquet").withColumn("key", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return frequency.frequency_list(C.table_corpus(t, "key", "text"))
+
+
+@query(f"WITH {_tok('pages', 'page_id', chr(114) + 'egexp_replace(html, ' + repr('<[^>]*>') + ', ' + repr(' ') + ', ' + repr('g') + ')')} SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens FROM docs")
+def pages_doc_lengths(spark, d):
+    t = spark.read.parquet(f"{d}/pages.parquet").withColumn("plain", F.regexp_replace("html", "<[^>]*>", " "))
+    return C.lengths(C.table_corpus(t, "page_id", "plain"))
+
+
+@query("SELECT CAST(item_id AS BIGINT) AS item_id, translate(left(text, 40), '<>:\"/\\|?* ', '__________') AS file_name FROM benchmark")
+def file_names(spark, d):
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.file_name(F.left("text", F.lit(40))).alias("file_name"))
