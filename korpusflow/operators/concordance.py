@@ -42,7 +42,9 @@ def concordance(corpus: DataFrame, phrase: str, context: int, threshold: int = 1
     """
     pairs = [(a, b) for a in range(context + 1) for b in range(context + 1 - a) if a + b]
     keep = {"left": lambda a, b: not b, "right": lambda a, b: not a, "both": lambda a, b: a and b, "all": lambda a, b: True}[side]
-    cut = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs if keep(a, b)))
+    if not (pairs := [x for x in pairs if keep(*x)]):
+        return corpus.sparkSession.createDataFrame([], "left string, right string, freq long")
+    cut = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
     rows = matches(corpus, phrase, dictionary, context).select("left", "right", F.explode(cut).alias("n")).where((F.size("left") >= F.col("n.a")) & (F.size("right") >= F.col("n.b")))
     left = F.when(F.col("n.a") > 0, F.concat_ws(" ", F.slice("left", F.size("left") - F.col("n.a") + 1, F.col("n.a")))).otherwise("")
     right = F.when(F.col("n.b") > 0, F.concat_ws(" ", F.slice("right", F.lit(1), F.col("n.b")))).otherwise("")

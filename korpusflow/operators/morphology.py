@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import deyotized
-from korpusflow.sources.corpus import token_table
+from korpusflow.sources.corpus import cut, token_table
 from korpusflow.sources.resources import FUNCTION_POS, LIST_POS, MERGING_LINKS
 
 UNKNOWN = "UNKN"
 #: A link chain longer than this is taken for a cycle.
-DEPTH = 64
+DEPTH = 16
 
 
 def link_roots(links: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def link_roots(links: DataFrame) -> DataFrame:
     Iterates to the fixpoint with plain joins; each round moves every open
     path one step up.  A cycle has no root; the depth guard ends it.
     """
-    edges = links.where(F.col("type").isin(*MERGING_LINKS)).select(F.col("dst").alias("child"), F.col("src").alias("parent")).where("child != parent").distinct()
+    edges = cut(links.where(F.col("type").isin(*MERGING_LINKS)).select(F.col("dst").alias("child"), F.col("src").alias("parent")).where("child != parent").distinct())
     at = edges.select(F.col("child").alias("lexeme_id"), F.col("parent").alias("node"))
     roots = None
     for _ in range(DEPTH):
-        up = at.join(edges, at["node"] == edges["child"], "left").select("lexeme_id", "node", "parent")
+        up = cut(at.join(edges, at["node"] == edges["child"], "left").select("lexeme_id", "node", "parent"))
         done = up.where("parent is null").select("lexeme_id", F.col("node").alias("root_id"))
         roots = done if roots is None else roots.unionByName(done)
         at = up.where("parent is not null").select("lexeme_id", F.col("parent").alias("node")).distinct()

@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import tokens
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Ends a lineage by a checkpoint in the shared folder of spark.checkpoint.dir; a local session without one gets its own."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+            at = tempfile.mkdtemp(prefix="korpusflow-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint()
+
+
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file name), text: each regular file of a folder, not of its subfolders."""
-    return spark.read.option("recursiveFileLookup", "false").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", "false").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+    # Spark's file sources leave out empty files, but they are documents too: they count in totals and average length
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    empty = [(f.getPath().getName(), "") for f in found if f.isFile() and f.getLen() == 0]
+    return read.unionByName(spark.createDataFrame(empty, "doc_id string, text string")) if empty else read
 
 
 def table_corpus(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
