@@ -44,6 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     full = base.join(prefixes, ["__length", "__prefix"], "left").withColumn("__sha", F.when(F.col("__open"), F.col(digest_col) if digest_col else whole))
     groups = full.where("__sha is not null").groupBy("__sha").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
-    out = full.join(groups, "__sha", "left").withColumn("keep_id", F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep")))
+    # decided rows have no digest; a key of their own each keeps them from meeting in one task
+    alone = F.concat(F.lit("-"), F.xxhash64(id_col, "__length", "__prefix").cast("string"))
+    out = full.withColumn("__sha", F.coalesce("__sha", alone)).join(groups, "__sha", "left").withColumn("keep_id", F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep")))
     out = out.withColumn("group_size", F.coalesce("__size", F.lit(1).cast("long"))).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     return out.drop("__length", "__prefix", "__open", "__sha", "__keep", "__size")
