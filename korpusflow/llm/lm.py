@@ -16,7 +16,7 @@ from korpusflow.llm.ctw import Top, grams, subtree
 
 DEPTH = 5
 #: Bytes of text of one block, and of what numpy handles at once.
-BLOCK, STEP = 32 << 20, 4 << 20
+BLOCK, STEP = 24 << 20, 2 << 20
 _END_WORD = b"\xff"  # no UTF-8 text has this byte
 
 
@@ -149,22 +149,23 @@ def _scores(id_col: str, depth: int, total: int, distinct: int):
         key, value = answers.column("key").to_numpy(), answers.column("value").to_numpy()
         order = np.flatnonzero(key >= 0)
         places, log10 = Table(key[order].astype(np.uint64)), value[order]
-        count = dict(zip(key[key < 0].tolist(), value[key < 0].tolist(), strict=True))
         score = []
         for at, end in _steps(texts):
             part = texts[at:end]
             each = log10[places.places(grams(_joined(part), depth))]
             starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])[:-1]])
             score.append(np.add.reduceat(each, starts))
-        word: dict[bytes, float] = {}
+        del each, places, log10
         base, known, tokens = [], [], []
-        end_value = math.log10((count[word_key(_END_WORD)] + 1) / (total + distinct + 1))
+        word: dict[bytes, float] = dict.fromkeys(w for text in texts for w in text.split())
+        word[_END_WORD] = 0.0
+        order = np.flatnonzero(key < 0)
+        at = Table(key[order].view(np.uint64)).places(np.fromiter(map(word_key, word), np.int64, len(word)).view(np.uint64))
+        logs = [math.log10((c + 1) / (total + distinct + 1)) for c in value[order][at]]
+        word = dict(zip(word, logs, strict=True))
+        end_value = word[_END_WORD]
         for text in texts:
-            own = text.split()
-            for w in own:
-                if w not in word:
-                    word[w] = math.log10((count[word_key(w)] + 1) / (total + distinct + 1))
-            values = [word[w] for w in own]
+            values = [word[w] for w in text.split()]
             values.append(end_value)
             base.append(math.fsum(values))
             tokens.append(len(values))
