@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import release, stored
+from korpusflow.llm.common import give_back, release, stored
 from korpusflow.llm.ctw import Top, grams, subtree
 
 DEPTH = 5
@@ -79,6 +79,8 @@ def _requests(depth: int):
         own = np.array([*map(word_key, words), *map(word_key, asked)], dtype=np.int64)
         counts = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(asked), np.int64)])
         out = np.concatenate([keys.astype(np.int64), own])
+        del texts, words, asked, keys, own
+        give_back()
         return pa.table({"block": pa.array(np.full(len(out), block, np.int32)), "key": out, "n": np.concatenate([n, counts])})
 
     return run
@@ -172,9 +174,11 @@ def _scores(id_col: str, depth: int, total: int, distinct: int):
             known.append(len(values) - (values.count(unseen) if total else len(values)))
         score = np.concatenate(score)
         size = np.array([len(t) + 1 for t in texts])
+        del texts, word, logs
+        give_back()
         return pa.table({
             id_col: table.column(id_col), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([total] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(-score / math.log10(2) / size),
+            "train_tokens": pa.array([total] * len(size), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(-score / math.log10(2) / size),
         })
 
     return run
