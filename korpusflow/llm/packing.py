@@ -8,16 +8,45 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.bpe import encoder
+from korpusflow.llm.bpe import PATTERN, Vocabulary, encoder
 from korpusflow.llm.common import batches_of, texts_of
 
 WINDOW = 2048
 #: Id that ends each document.
 END_ID = 1
+#: Longer texts are encoded by bpe.Encoder, whose time and stack don't depend on how long a run of like characters is.
+LONGEST = 1 << 17
+
+
+class PackEncoder:
+    """Encodes texts with the compiled tiktoken library where its rule gives the file's ids: ids in the order of merges."""
+
+    def __init__(self, path: str):
+        self.path, self.compiled = path, None
+        v = Vocabulary(path)
+        order = [k for _, k in sorted((rank, k) for k, (rank, _, _) in v.parts.items())]
+        if order == sorted(order) and len(v.ids) == 256 + len(order) and max(v.ids[bytes([b])] for b in range(256)) < min(order, default=1 << 60):
+            self.compiled = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.added)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.compiled is None or len(text) > LONGEST:
+            return np.frombuffer(encoder(self.path).encode(text), dtype="<u4")
+        return self.compiled.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+
+
+_encoders: dict[str, PackEncoder] = {}
+
+
+def pack_encoder(path: str) -> PackEncoder:
+    """One encoder for each worker process and file."""
+    if path not in _encoders:
+        _encoders[path] = PackEncoder(path)
+    return _encoders[path]
 
 
 @dataclass
@@ -134,7 +163,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     schema = f"`{id_col}` {kind}, start long, length long, " + ("ids array<int>, " if ids else "") + "ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, packer, first = encoder(path), Packer(window), TaskContext.get().partitionId() << 33
+        e, packer, first = pack_encoder(path), Packer(window), TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         kind_id, number = None, 0
 
@@ -158,7 +187,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             kind_id = whole.schema.field(0).type
             for part in batches_of(whole):
                 for doc, text in zip(part.column(0).to_pylist(), texts_of(part, "__text"), strict=True):
-                    got = np.frombuffer(e.encode(text) + end_id.to_bytes(4, "little"), dtype="<u4")
+                    got = np.append(e.encode(text), np.uint32(end_id))
                     put(packer.add(doc, got))
                     if len(rows) >= 5000:
                         yield batch()

@@ -216,3 +216,8 @@ def test_sum_of_squares_rule():
         allowed = [h for h in range(16 - size + 1) if h == 0 or n[h]]
         assert cost(p.level(size)) == min(map(cost, allowed))
         list(p.add(k, np.arange(size)))
+
+
+@pytest.mark.parametrize("text", ["", "a" * 5000, " " * 5000, "\n" * 5000, "^9" * 3000, "x <|endoftext|>y<|endoftext|><|", "é日本😀 　 x\x00\x85", "a b " * (packing.LONGEST // 3)])
+def test_pack_encoder_equals_library(text):
+    assert packing.pack_encoder(PATH).encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
