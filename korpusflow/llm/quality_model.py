@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,25 +27,29 @@ _SPACE = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 _MARKED = re.compile(rb"[#*$%&|<>](?=\s|\Z)")
 
 
-def shape(word: str) -> str:
-    """Runs of upper-case, lower-case, digits and other characters: 'Don't!!' is "Aa'a!"."""
+def shapes(word: str) -> list[str]:
+    """Runs of upper-case, lower-case, digits and other characters, by up to eight: "Don't!!" is ["Aa'a!"]; of a long word every piece."""
     out: list[str] = []
-    for c in word[:256]:
+    last = None
+    for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
-        if not out or out[-1] != k:
+        if k != last:
             out.append(k)
-    return "".join(out[:8])
+            last = k
+    return ["".join(out[at : at + 8]) for at in range(0, len(out), 8)]
 
 
-_places: dict[str, int] = {}
+_places: dict[str, list[int]] = {}
 
 
-def _place(word: str) -> int:
-    """The dimension of a word's shape."""
+def _places_of(word: str) -> list[int]:
+    """The dimensions of a word's shapes."""
     if (got := _places.get(word)) is None:
-        if len(_places) > 300_000:
-            _places.clear()
-        got = _places[word] = zlib.crc32(shape(word).encode()) % DIMENSIONS
+        got = [zlib.crc32(x.encode()) % DIMENSIONS for x in shapes(word)]
+        if len(word) <= 256:
+            if len(_places) > 300_000:
+                _places.clear()
+            _places[word] = got
     return got
 
 
@@ -62,7 +67,7 @@ def profile(text: str) -> Profile:
     words = text.split()
     n = len(words)
     size = max(1, len(data) - sum(map(data.count, _SPACE)))
-    shapes = Counter(map(_place, words))
+    pieces = Counter(chain.from_iterable(map(_places_of, words)))
     same = sum(map(str.__eq__, words, words[1:])) / max(1, n)
     distinct = len(set(words)) / max(1, n)
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
@@ -82,7 +87,8 @@ def profile(text: str) -> Profile:
         _by(marked / max(1, n), 0.02, 0.1, n >= 5),
         _by((len(data) - len(data.translate(None, _MARKS))) / size, 0.12, 0.25, n >= 5),
     ]
-    values = {k: (v / n) ** 0.5 for k, v in shapes.items()}
+    total = pieces.total()
+    values = {k: (v / total) ** 0.5 for k, v in pieces.items()}
     for name, value in (("same", same), ("repeats", max(0.0, 0.5 - distinct) if n >= 20 else 0.0), ("lines", twice if len(lines) >= 4 else 0.0), ("single", single if n >= 8 else 0.0)):
         if value:
             k = zlib.crc32(f" {name}".encode()) % DIMENSIONS
