@@ -102,6 +102,15 @@ def likeness(words: list[str], templates: list[frozenset[tuple[str, str]]]) -> f
     return max((len(own & t) / max(1, min(len(t), max(len(own), 3))) for t in templates), default=0.0)
 
 
+def sentences_of(templates: dict[str, list[str]]) -> dict[tuple[str, ...], str]:
+    """The families of whole sentences of templates, as words; one that several families have says nothing."""
+    out: dict[tuple[str, ...], str] = {}
+    for family, texts in templates.items():
+        for words in {tuple(words_of(x)) for t in texts for x in re.split(r"(?<=[.;:])\s+", t)}:
+            out[words] = UNKNOWN if out.get(words, family) != family else family
+    return {w: f for w, f in out.items() if len(w) > 1 and f != UNKNOWN}
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -110,6 +119,8 @@ class Model:
     temperature: float
     threshold: float
     pairs: dict[str, list[frozenset[tuple[str, str]]]]
+    sentences: dict[tuple[str, ...], str]
+    texts: dict[str, list[str]]
 
     def logits(self, words: list[str]) -> np.ndarray:
         at = features(words, self.known)
@@ -125,8 +136,15 @@ class Model:
         return (self.families[k], float(p[k])) if p[k] >= self.threshold else (UNKNOWN, float(p[-1]))
 
     def similarity(self, family: str, words: list[str]) -> float:
+        """A paragraph too short for the share of pairs must stand in a template word for word."""
+        if 2 <= len(words) <= 3 and any(f" {' '.join(words)} " in t for t in self.texts[family]):
+            return 1.0
         return likeness(words, self.pairs[family])
 
+    def notice(self, words: list[str]) -> str | None:
+        """The family of a paragraph that is a whole sentence of a template, such as 'All rights reserved.'"""
+        return self.sentences.get(tuple(words))
+
 
 def train(templates: dict[str, list[str]], background: list[str], seed: int = 0) -> Model:
     """Multinomial logistic regression on variants of the templates against background paragraphs."""
@@ -182,14 +200,15 @@ def train(templates: dict[str, list[str]], background: list[str], seed: int = 0)
     p /= p.sum(1, keepdims=True)
     wrong = np.sort(p[y[cut:] == len(families)][:, :-1].max(1))
     threshold = max(0.5, float(wrong[min(len(wrong) - 1, int(len(wrong) * (1 - FALSE_RATE)))]) + 1e-6) if len(wrong) else 0.5
-    return Model(families, known, weights.astype(np.float64), temperature, min(threshold, 0.9), pairs)
+    return Model(families, known, weights.astype(np.float64), temperature, min(threshold, 0.9), pairs, sentences_of(templates), {f: [f" {' '.join(w)} " for w in texts[f]] for f in families})
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, list[str]] = TEMPLATES, background: int = BACKGROUND) -> DataFrame:
     """One row for each paragraph that has license words enough to be looked at and isn't plain text.
 
     id, paragraph (0-based; paragraphs are lines), start (character),
-    length, family (a family, or 'unknown' where the classifier is unsure or no template confirms it),
+    length, family (a family, or 'unknown' where the classifier is unsure or no template confirms it;
+    a whole sentence of one family's templates is of that family, whatever the classifier says),
     predicted, probability, similarity, confirmed.  Every paragraph of every
     text is classified; those with fewer than two words or without a word pair
     of any template are unknown for certain and give no row.  Null and empty
@@ -218,10 +237,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             words = words_of(line)
                             if not any_pair.isdisjoint(zip(words, words[1:], strict=False)):
                                 predicted, p = model.classify(words)
-                                if predicted != UNKNOWN:
+                                if family := model.notice(words):
+                                    rows.append((doc, k, start, len(line), family, predicted, p, 1.0, True))
+                                elif predicted != UNKNOWN:
                                     like = model.similarity(predicted, words)
                                     rows.append((doc, k, start, len(line), predicted if like >= SIMILARITY else UNKNOWN, predicted, p, like, like >= SIMILARITY))
-                                elif (like := max(model.similarity(f, words) for f in model.families)) >= SIMILARITY:
+                                elif (like := max(likeness(words, own) for own in model.pairs.values())) >= SIMILARITY:
                                     rows.append((doc, k, start, len(line), UNKNOWN, UNKNOWN, p, like, False))
                         start += len(line) + 1
                 if rows:
