@@ -12,3 +12,8 @@ def test_whole_sentences_of_templates(spark):
     got = scan(spark, ["All rights reserved.", "some prose here\nALL RIGHTS RESERVED\nmore prose", "Proprietary and confidential.", "rights of the", "All rights"])
     assert got[0] == got[1] == got[2] == ("proprietary", True)
     assert not any(c for k, (_, c) in got.items() if k in (3, 4))
+
+
+def test_words_are_cut_once(spark):
+    got = scan(spark, ["SPDX-License-Identifier:MIT", "[SPDX-License-Identifier: MIT]", "**SPDX-License-Identifier:** MIT"])
+    assert got == {k: ("MIT", True) for k in range(3)}
