@@ -12,27 +12,24 @@ from korpusflow.sources.corpus import cut, token_table
 from korpusflow.sources.resources import FUNCTION_POS, LIST_POS, MERGING_LINKS
 
 UNKNOWN = "UNKN"
-#: A link chain longer than this is taken for a cycle.
-DEPTH = 16
 
 
 def link_roots(links: DataFrame) -> DataFrame:
     """lexeme_id, root_id: the ancestors without parents, over merging links (child `dst` of parent `src`).
 
-    Iterates to the fixpoint with plain joins; each round moves every open
-    path one step up.  A cycle has no root; the depth guard ends it.
+    Paths double in length each round until no pair of lexeme and ancestor is
+    new, which ends cycles too: chains of any length are followed.  A lexeme
+    that leads into cycles only has no root.
     """
-    edges = cut(links.where(F.col("type").isin(*MERGING_LINKS)).select(F.col("dst").alias("child"), F.col("src").alias("parent")).where("child != parent").distinct())
-    at = edges.select(F.col("child").alias("lexeme_id"), F.col("parent").alias("node"))
-    roots = None
-    for _ in range(DEPTH):
-        up = cut(at.join(edges, at["node"] == edges["child"], "left").select("lexeme_id", "node", "parent"))
-        done = up.where("parent is null").select("lexeme_id", F.col("node").alias("root_id"))
-        roots = done if roots is None else roots.unionByName(done)
-        at = up.where("parent is not null").select("lexeme_id", F.col("parent").alias("node")).distinct()
-        if at.isEmpty():
+    edges = cut(links.where(F.col("type").isin(*MERGING_LINKS)).select(F.col("dst").alias("lexeme_id"), F.col("src").alias("node")).where("lexeme_id != node").distinct())
+    reach, n = edges, edges.count()
+    while n:
+        further = reach.select(F.col("lexeme_id").alias("node"), F.col("node").alias("root_id"))
+        reach = cut(reach.unionByName(reach.join(further, "node").select("lexeme_id", F.col("root_id").alias("node"))).distinct())
+        before, n = n, reach.count()
+        if n == before:
             break
-    return roots.distinct()
+    return reach.join(edges.select(F.col("lexeme_id").alias("node")).distinct(), "node", "left_anti").select("lexeme_id", F.col("node").alias("root_id"))
 
 
 def _keys(df: DataFrame, column: str) -> DataFrame:
