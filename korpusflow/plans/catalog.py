@@ -301,3 +301,8 @@ def pages_doc_lengths(spark, d):
 @query("SELECT CAST(item_id AS BIGINT) AS item_id, translate(left(text, 40), '<>:\"/\\|?* ', '__________') AS file_name FROM benchmark")
 def file_names(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.file_name(F.left("text", F.lit(40))).alias("file_name"))
+
+
+@query("SELECT CAST(item_id AS BIGINT) AS item_id, translate(text, '<>:\"/\\|?* ', '__________') AS file_name FROM benchmark")
+def file_names_whole(spark, d):
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.file_name(F.col("text")).alias("file_name"))
