@@ -68,14 +68,14 @@ def _level(keys: np.ndarray, counts: np.ndarray):
     return unique, np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64), inverse
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2):
-    """Evaluates the trees below the nodes of depth `top` that occur in `keys` (distinct keys).
+def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2, mix: bool = True):
+    """Evaluates the trees below the nodes of depth `top` that occur in `keys` (distinct, sorted keys).
 
     counts may be 0: such keys are only asked for.  All keys below a node of
     depth `top` must be given together.  Returns
 
     * one row of eight probabilities for each key: that of the key's own bit
-      at each decision, as mixed from depth `top` downwards;
+      at each decision, as mixed from depth `top` downwards (not without `mix`);
     * the decisions' nodes at depth `top`: leading bytes, decision (1..255),
       zeros, ones, log P_w.
     """
@@ -86,7 +86,7 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2):
         short = ((above >> np.uint64(16)) << u8) | (above & np.uint64(255)) if d + 1 else above
         unique, sums, inverse = _level(short, n)
         levels[d] = (unique, sums, inverse)
-    mixed = np.empty((len(keys), 8), dtype=np.float64)
+    mixed = np.empty((len(keys) if mix else 0, 8), dtype=np.float64)
     out = []
     for b in range(8):
         rest, bit_at = np.uint64(8 - b), np.uint64(7 - b)
@@ -110,18 +110,18 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2):
                 inner = np.bincount(np.searchsorted(nodes, parent), weights=below[1], minlength=len(nodes))
                 weighted = np.logaddexp(kt, inner) - np.log(2)
                 cut = np.exp(kt - np.log(2) - weighted)
-            one_next = (ones + 0.5) / (zeros + ones + 1.0)
-            stack.append((node, bits, one_next, cut))
+            stack.append((node, (ones + 0.5) / (zeros + ones + 1.0) if mix else None, cut))
             below = (nodes, weighted)
         at = np.arange(len(keys))
-        for d, (node, bits, one_next, cut) in zip(range(depth, top - 1, -1), stack, strict=True):
+        for d, (node, one_next, cut) in zip(range(depth, top - 1, -1), stack if mix else [], strict=mix):
             if d < depth:
                 at = levels[d][2][at]
             p = one_next[node[at]]
             own = ((keys >> bit_at) & one).astype(bool)
             p = np.where(own, p, 1 - p)
             prob = p if prob is None else cut[node[at]] * p + (1 - cut[node[at]]) * prob
-        mixed[:, b] = prob
+        if mix:
+            mixed[:, b] = prob
         rows, n, _ = levels[top]
         nodes, weighted = below
         bits = ((rows >> bit_at) & one).astype(bool)
@@ -130,6 +130,13 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2):
     return mixed, tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def lifted(zeros: np.ndarray, ones: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes from their children's sums (zeros, ones, log P_w): log P_w, weight of cutting there, probability of a one."""
+    kt = log_kt(zeros, ones)
+    weighted = np.logaddexp(kt, inner) - np.log(2)
+    return weighted, np.exp(kt - np.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1.0)
+
+
 class Top:
     """The nodes of depth 1 and 0: at most 256 * 255 + 255, whatever the corpus."""
 
@@ -140,24 +147,23 @@ class Top:
         for to, x in ((z, zeros), (o, ones), (w, inner)):
             np.add.at(to, (last, decision), x)
         z, o = z.astype(np.int64), o.astype(np.int64)
-        kt = log_kt(z, o)
-        weighted = np.logaddexp(kt, w) - np.log(2)
-        self.cut1, self.one1 = np.exp(kt - np.log(2) - weighted), (o + 0.5) / (z + o + 1.0)
-        z0, o0 = z.sum(0), o.sum(0)
-        kt0 = log_kt(z0, o0)
-        w0 = np.logaddexp(kt0, weighted.sum(0)) - np.log(2)
-        self.cut0, self.one0 = np.exp(kt0 - np.log(2) - w0), (o0 + 0.5) / (z0 + o0 + 1.0)
+        weighted, self.cut1, self.one1 = lifted(z, o, w)
+        _, self.cut0, self.one0 = lifted(z.sum(0), o.sum(0), weighted.sum(0))
 
     def log10(self, keys: np.ndarray, mixed: np.ndarray, depth: int) -> np.ndarray:
-        """log10 of the probability of each key's coded byte in its context."""
+        """log10 of the probability of each key's coded byte in its context; mixed: from depth 2 downwards."""
         last = (keys >> np.uint64(8 * depth)).astype(np.int64) & 255
         x = keys.astype(np.int64) & 255
         total = np.zeros(len(keys))
         for b in range(8):
-            decision = (1 << b) | (x >> (8 - b))
-            own = (x >> (7 - b)) & 1
+            decision, own = decision_of(x, b)
             p1, p0 = self.one1[last, decision], self.one0[decision]
             p1, p0 = np.where(own, p1, 1 - p1), np.where(own, p0, 1 - p0)
             c1, c0 = self.cut1[last, decision], self.cut0[decision]
             total += np.log10(c0 * p0 + (1 - c0) * (c1 * p1 + (1 - c1) * mixed[:, b]))
         return total
+
+
+def decision_of(x: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decision that bit b of the bytes x is coded at, and the bit."""
+    return (1 << b) | (x >> (8 - b)), (x >> (7 - b)) & 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,104 +12,243 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import give_back, release, stored
-from korpusflow.llm.ctw import Top, grams, subtree
+from korpusflow.llm.common import batches_of, discard, give_back, release, stored
+from korpusflow.llm.ctw import Top, decision_of, grams, lifted, subtree
 
 DEPTH = 5
-#: Bytes of text of one block, and of what numpy handles at once.
-BLOCK, STEP = 24 << 20, 2 << 20
+#: Subtrees below contexts of so many bytes are evaluated each in one task.
+LEAD = 3
+#: Bytes of text of one block, and positions that numpy handles at once.
+BLOCK, STEP = 8 << 20, 1 << 20
 _END_WORD = b"\xff"  # no UTF-8 text has this byte
+_TEXTS, _GRAMS, _WORDS = range(3)
 
 
-def word_key(word: bytes) -> int:
-    """A negative key for a word: 62 bits of its XXH64 (two of 10 million words meet with probability 1e-5)."""
-    return -1 - (xxhash.xxh64_intdigest(word) >> 2)
+def planes(x: np.ndarray) -> bytes:
+    """Integers as one run for each of their bytes: those of small ones are mostly zeros, which compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def _steps(texts: list[bytes]):
-    """Runs of texts of about STEP bytes: first and last index."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (size < STEP or end == at):
-            size += len(texts[end]) + 1
-            end += 1
-        yield at, end
-        at = end
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _lowered(table: pa.Table) -> list[bytes]:
-    return [(t or "").encode().lower() for chunk in table.column("__text").chunks for t in chunk.to_pylist()]
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
-def _joined(texts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)
+
+def _sorted_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(at, append=len(keys))
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights=n, minlength=len(unique)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n[order], at)
+
+
+class Block:
+    """Some texts: the grams and words in them, in an order that is the same whenever it is asked for."""
+
+    def __init__(self, texts: list[bytes], depth: int):
+        self.texts, self.depth = texts, depth
+        self.data = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)
+        self.sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Start and gram keys of STEP positions at a time, whatever the texts' lengths."""
+        for at in range(0, len(self.data), STEP):
+            before = min(at, self.depth)
+            yield at, grams(self.data[at - before : at + STEP], self.depth)[before:]
+
+    def keys(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams, sorted, and how often each stands in a training text."""
+        out = np.repeat(held, self.sizes)
+        learned, other = [], []
+        for at, every in self.windows():
+            of = out[at : at + STEP]
+            learned.append(every[~of])
+            other.append(_sorted_counts(every[of])[0])
+        known, n = _sorted_counts(np.concatenate(learned))
+        del learned
+        asked = np.setdiff1d(np.concatenate(other), known)
+        every = np.concatenate([known, asked])
+        order = np.argsort(every)
+        return every[order], np.concatenate([n, np.zeros(len(asked), np.int64)])[order]
+
+    def distinct(self) -> np.ndarray:
+        """The same grams alone."""
+        return self.keys(np.zeros(len(self.texts), dtype=bool))[0]
+
+    def words(self, held: np.ndarray) -> dict[bytes, int]:
+        """The words and the end, and how often each stands in training texts."""
+        known: Counter[bytes] = Counter()
+        asked: set[bytes] = {_END_WORD}
+        for text, out in zip(self.texts, held.tolist(), strict=True):
+            if out:
+                asked.update(text.split())
+            else:
+                known.update(text.split())
+        known[_END_WORD] = int((~held).sum())
+        return dict.fromkeys(sorted(asked | known.keys()), 0) | known
+
+    def scores(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sum of the values of each text's grams."""
+        places, out, starts = Table(keys), np.zeros(len(self.texts)), np.cumsum(self.sizes) - self.sizes
+        for at, every in self.windows():
+            each = value[places.places(every)].astype(np.float64)
+            first, last = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(every))
+            out[first:last] += np.add.reduceat(each, np.maximum(starts[first:last], at) - at)
+        return out
 
 
-def _requests(depth: int):
-    """For a block: every gram and word in it, with its number in training texts."""
+def in_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bucket that has any: places of its keys."""
+    of = bucket_of(keys, buckets)
+    order = np.argsort(of, kind="stable")
+    ends = np.flatnonzero(np.append(of[order][1:] != of[order][:-1], True)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        yield int(of[order[a]]), order[a:b]
 
-    def run(table: pa.Table) -> pa.Table:
-        block, texts = table.column("__block")[0].as_py(), _lowered(table)
+
+def words_in_buckets(words: list[bytes], buckets: int) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(xxhash.xxh64_intdigest(w) % buckets, []).append(w)
+    return out
+
+
+_ASKED = "block long, kind int, bucket int, keys binary, n binary"
+
+
+def _deal(block_bytes: int, depth: int, buckets: int):
+    """Blocks of consecutive rows: their texts, compressed, and what they ask for, a row for each bucket."""
+
+    def rows(number: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_table(table)
+        out = [(number, _TEXTS, 0, sink.getvalue().to_pybytes(), b"")]
         held = np.array(table.column("held_out").to_pylist(), dtype=bool)
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        words: Counter[bytes] = Counter()
-        asked: set[bytes] = set()
-        for at, end in _steps(texts):
-            part = texts[at:end]
-            of = np.repeat(~held[at:end], [len(t) + 1 for t in part])
-            every = grams(_joined(part), depth)
-            learned, times = np.unique(every[of], return_counts=True)
-            other = np.unique(every[~of])
-            keys, n = _summed(np.concatenate([keys, learned, other]), np.concatenate([n, times, np.zeros(len(other), np.int64)]))
-            for text, out in zip(part, held[at:end], strict=True):
-                if out:
-                    asked.update(text.split())
-                else:
-                    words.update(text.split())
-        asked -= words.keys()
-        if n_train := int((~held).sum()):
-            words[_END_WORD] = n_train
-        else:
-            asked.add(_END_WORD)
-        own = np.array([*map(word_key, words), *map(word_key, asked)], dtype=np.int64)
-        counts = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(asked), np.int64)])
-        out = np.concatenate([keys.astype(np.int64), own])
-        del texts, words, asked, keys, own
+        block = Block(_lowered(table), depth)
+        del table, sink
+        keys, n = block.keys(held)
+        out += [(number, _GRAMS, b, packed(keys[at]), planes(n[at].astype(np.uint32))) for b, at in in_buckets(keys, buckets)]
+        words = block.words(held)
+        for b, own in words_in_buckets(list(words), buckets).items():
+            out.append((number, _WORDS, b, b" ".join(own), planes(np.array([words[w] for w in own], dtype=np.uint32))))
+        del keys, n, block, words
         give_back()
-        return pa.table({"block": pa.array(np.full(len(out), block, np.int32)), "key": out, "n": np.concatenate([n, counts])})
+        for at in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["block", "kind", "bucket", "keys", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, parts, size = TaskContext.get().partitionId() << 33, [], 0
+        for whole in batches:
+            for batch in batches_of(whole, min(1 << 20, block_bytes)):
+                parts.append(pa.RecordBatch.from_pydict({n: c.take(np.arange(len(c))) for n, c in zip(batch.schema.names, batch.columns, strict=True)}) if batch.num_rows < whole.num_rows else batch)
+                size += parts[-1].get_total_buffer_size()
+                if size >= block_bytes:
+                    yield from rows(number, parts)
+                    number, parts, size = number + 1, [], 0
+        if parts:
+            yield from rows(number, parts)
 
     return run
 
 
-def _model(depth: int):
+def _lowered(table: pa.Table) -> list[bytes]:
+    return [(t or "").encode().lower() for chunk in table.column("__text").chunks for t in chunk.to_pylist()]
+
+
+def _gram_sums(table: pa.Table) -> pa.Table:
+    keys, n = _summed(np.concatenate([unpacked(x) for x in table.column("keys").to_pylist()]), np.concatenate([unplanes(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64))
+    return pa.table({"key": keys.astype(np.int64), "n": n})
+
+
+def _word_sums(table: pa.Table) -> pa.Table:
+    """For each asking block the sums of its words; in a row without a block how many tokens and distinct ones were learned."""
+    asked, n = [x.split(b" ") for x in table.column("keys").to_pylist()], [unplanes(x, np.uint32).tolist() for x in table.column("n").to_pylist()]
+    total: Counter[bytes] = Counter()
+    for words, k in zip(asked, n, strict=True):
+        for w, c in zip(words, k, strict=True):
+            total[w] += c
+    answers = [planes(np.array([total[w] for w in words], dtype=np.int64)) for words in asked]
+    m, bucket = len(asked), table.column("bucket")[0].as_py()
+    return pa.table({
+        "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "kind": pa.array([_WORDS] * (m + 1), pa.int32()), "bucket": pa.array([bucket] * (m + 1), pa.int32()),
+        "answer": pa.array([*answers, None], pa.binary()), "tokens": pa.array([0] * m + [total.total()], pa.int64()), "distinct": pa.array([0] * m + [sum(c > 0 for c in total.values())], pa.int64()),
+    })
+
+
+def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _nodes(depth: int, lead: int):
+    """The nodes of depth `lead` with the weighted probabilities of the trees below."""
+
     def run(table: pa.Table) -> pa.Table:
-        keys, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        mixed, (lead, decision, zeros, ones, inner) = subtree(keys, n, depth)
-        rows = np.ascontiguousarray(mixed, dtype="<f4")
-        blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(rows)]).cast(pa.binary())
-        k, m = len(keys), len(lead)
-        null = lambda kind, size: pa.nulls(size, kind)
-        return pa.table({
-            "key": pa.concat_arrays([pa.array(keys.astype(np.int64)), null(pa.int64(), m)]),
-            "mixed": pa.concat_arrays([blob, null(pa.binary(), m)]),
-            "last": pa.concat_arrays([null(pa.int32(), k), pa.array((lead >> np.uint64(8)).astype(np.int32))]),
-            "decision": pa.concat_arrays([null(pa.int32(), k), pa.array(decision.astype(np.int32))]),
-            "zeros": pa.concat_arrays([null(pa.int64(), k), pa.array(zeros)]),
-            "ones": pa.concat_arrays([null(pa.int64(), k), pa.array(ones)]),
-            "inner": pa.concat_arrays([null(pa.float64(), k), pa.array(inner)]),
-        })
+        _, (at, decision, zeros, ones, inner) = subtree(*_by_key(table), depth, lead, mix=False)
+        return pa.table({"lead": at.astype(np.int64), "decision": decision.astype(np.int32), "zeros": zeros, "ones": ones, "inner": inner})
 
     return run
 
 
+def _lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        zeros, ones, inner = (b.column(k).to_numpy() for k in (2, 3, 4))
+        weighted, cut, one = lifted(zeros, ones, inner)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(weighted), pa.array(cut), pa.array(one)], ["lead", "decision", "zeros", "ones", "inner", "cut", "one"])
+
+
+def _values(depth: int, lead: int, top: Top, buckets: int):
+    """log10 of the probability of each gram's last byte, from the nodes above the subtree too."""
+
+    def run(counts: pa.Table, above: pa.Table) -> pa.Table:
+        keys, n = _by_key(counts)
+        mixed, _ = subtree(keys, n, depth, lead)
+        if lead > 2:
+            code = above.column("lead").to_numpy() << 8 | above.column("decision").to_numpy()
+            order = np.argsort(code)
+            code, cut, one = code[order], above.column("cut").to_numpy()[order], above.column("one").to_numpy()[order]
+            at, x = (keys >> np.uint64(8 * (depth + 1 - lead))).astype(np.int64) << 8, keys.astype(np.int64) & 255
+            for b in range(8):
+                decision, own = decision_of(x, b)
+                node = np.searchsorted(code, at | decision)
+                p = np.where(own, one[node], 1 - one[node])
+                mixed[:, b] = cut[node] * p + (1 - cut[node]) * mixed[:, b]
+        value = top.log10(keys, mixed, depth).astype(np.float32)
+        return pa.table({"bucket": bucket_of(keys, buckets).astype(np.int32), "key": keys.astype(np.int64), "value": value})
+
+    return run
+
+
+def _answers(asked: pa.Table, values: pa.Table) -> pa.Table:
+    key, value = values.column("key").to_numpy().astype(np.uint64), values.column("value").to_numpy()
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    found = [value[np.searchsorted(key, unpacked(x))].tobytes() for x in asked.column("keys").to_pylist()]
+    return pa.table({"block": asked.column("block"), "kind": pa.array([_GRAMS] * len(found), pa.int32()), "bucket": asked.column("bucket"), "answer": pa.array(found, pa.binary())})
+
+
 class Table:
     """A hash table from 64-bit keys to places, filled and asked by whole arrays."""
 
@@ -143,41 +283,37 @@ class Table:
         return out
 
 
-def _scores(id_col: str, depth: int, total: int, distinct: int):
+def _scores(id_col: str, depth: int, total: int, distinct: int, buckets: int):
     unseen = math.log10(1 / (total + distinct + 1))
 
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _lowered(table)
-        key, value = answers.column("key").to_numpy(), answers.column("value").to_numpy()
-        order = np.flatnonzero(key >= 0)
-        places, log10 = Table(key[order].astype(np.uint64)), value[order]
-        score = []
-        for at, end in _steps(texts):
-            part = texts[at:end]
-            each = log10[places.places(grams(_joined(part), depth))]
-            starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])[:-1]])
-            score.append(np.add.reduceat(each, starts))
-        del each, places, log10
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        table = pa.ipc.open_stream(dealt.column("keys")[0].as_buffer()).read_all()
+        block = Block(_lowered(table), depth)
+        got = {(k, b): a for k, b, a in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "answer")), strict=True)}
+        keys = block.distinct()
+        value = np.empty(len(keys), dtype=np.float32)
+        for b, at in in_buckets(keys, buckets):
+            value[at] = np.frombuffer(got[_GRAMS, b], dtype=np.float32)
+        score = block.scores(keys, value)
+        del keys, value
+        logs: dict[bytes, float] = {}
+        every = sorted({w for t in block.texts for w in t.split()} | {_END_WORD})
+        for b, own in words_in_buckets(every, buckets).items():
+            logs.update(zip(own, (math.log10((c + 1) / (total + distinct + 1)) for c in unplanes(got[_WORDS, b], np.int64).tolist()), strict=True))
+        del got, every
         base, known, tokens = [], [], []
-        word: dict[bytes, float] = dict.fromkeys(w for text in texts for w in text.split())
-        word[_END_WORD] = 0.0
-        order = np.flatnonzero(key < 0)
-        at = Table(key[order].view(np.uint64)).places(np.fromiter(map(word_key, word), np.int64, len(word)).view(np.uint64))
-        logs = [math.log10((c + 1) / (total + distinct + 1)) for c in value[order][at]]
-        word = dict(zip(word, logs, strict=True))
-        end_value = word[_END_WORD]
-        for text in texts:
-            values = [word[w] for w in text.split()]
+        end_value = logs[_END_WORD]
+        for text in block.texts:
+            values = [logs[w] for w in text.split()]
             values.append(end_value)
             base.append(math.fsum(values))
             tokens.append(len(values))
             known.append(len(values) - (values.count(unseen) if total else len(values)))
-        score = np.concatenate(score)
-        size = np.array([len(t) + 1 for t in texts])
-        del texts, word, logs
+        size = block.sizes
+        del block, logs
         give_back()
         return pa.table({
-            id_col: table.column(id_col), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
+            id_col: table.column("id"), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array([total] * len(size), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(-score / math.log10(2) / size),
         })
 
@@ -191,43 +327,50 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts of the base come from all others (a null id reads as the empty
     text).  score is the log10 probability of the text's bytes after
     lower-casing A-Z and of its end; bits_per_byte is the code length by that
-    score for each byte, the end counted as one.  Null texts are empty.
-
-    How it spreads: texts are dealt in blocks of about block_bytes.  A block
-    asks once for each gram of depth + 1 bytes and each word it has, with its
-    training count; sums by key are the model's counts; subtrees of the trees
-    below the last two bytes are weighted each in one task; their answers go
-    back to the blocks that asked.  Only sums for the decisions after one byte
-    (at most 256 * 255, whatever the corpus) reach the driver.
+    score for each byte, the end counted as one.  Null texts are empty; rows
+    that repeat are scored and learned from each; an empty table gives no row.
+
+    How it spreads: consecutive rows of about block_bytes are a block, written
+    with its texts (compressed) and with what it asks: each distinct gram of
+    depth + 1 bytes and each word, once, with its training count, a row for
+    each bucket of hashes.  Buckets are as many as blocks, so that a bucket's
+    task holds about as much as a block's; even the commonest gram is asked
+    once by a block.  Sums by gram are the model's counts; subtrees below
+    contexts of LEAD bytes are weighted each in one task; the answers go back
+    to the blocks that asked, in the order of asking.  Only sums for the
+    decisions after one byte (at most 256 * 255, whatever the corpus) reach
+    the driver.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    blocks = max(1, round(size / block_bytes))
+    buckets, lead = max(1, round(size / block_bytes)), min(LEAD, depth)
+    parts = max(16, 4 * buckets)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    # a text's own hash is part of it, so that rows that share an id are dealt out too
-    dealt = docs.select(id_col, text.alias("__text"), held.alias("held_out"), F.pmod(F.xxhash64(F.col(id_col), F.substring(text, 1, 256)), F.lit(blocks)).cast("int").alias("__block"))
-    asked = stored(dealt.groupBy("__block").applyInArrow(_requests(depth), "block int, key long, n long"), "requests")
+    every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text.alias("__text")).mapInArrow(_deal(block_bytes, depth, buckets), _ASKED)
+    dealt = stored(every, "lm-blocks", "kind")
+    texts, asked, words = (dealt.where(F.col("kind") == k) for k in (_TEXTS, _GRAMS, _WORDS))
+    counts = stored(asked.select("bucket", "keys", "n").groupBy("bucket").applyInArrow(_gram_sums, "key long, n long"), "lm-counts")
+    known = stored(words.select("block", "bucket", "keys", "n").groupBy("bucket").applyInArrow(_word_sums, "block long, kind int, bucket int, answer binary, tokens long, distinct long"), "lm-words")
     release(spark)
-    sums = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts")
-    total, distinct = sums.where("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    parts = min(4096, max(16, 4 * blocks))
-    lead = F.shiftright("key", 8 * (depth - 1))
-    model = sums.where("key >= 0").withColumn("part", F.pmod(F.xxhash64(lead), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(
-        _model(depth), "key long, mixed binary, last int, decision int, zeros long, ones long, inner double"
-    )
-    model = stored(model, "model")
+    total, distinct = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    part = lambda column: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+    placed = counts.withColumn("part", part(F.shiftright("key", 8 * (depth + 1 - lead))))
+    nodes = stored(placed.groupBy("part").applyInArrow(_nodes(depth, lead), "lead long, decision int, zeros long, ones long, inner double"), "lm-nodes")
+    sums = lambda df, column: df.groupBy(column, "decision").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("inner").alias("inner"))
+    second = nodes.withColumn("cut", F.lit(0.0)).withColumn("one", F.lit(0.0))
+    if lead > 2:
+        above = sums(nodes, F.shiftright("lead", 8).alias("lead"))
+        second = above.mapInArrow(_lift, "lead long, decision int, zeros long, ones long, inner double, cut double, one double")
+    second = stored(second, "lm-nodes-2")
+    top = sums(second, F.shiftright("lead", 8).alias("last")).collect()
+    top = Top(*(np.array([r[k] for r in top]) for k in range(5)))
+    above = nodes.select("lead", "decision", F.shiftright("lead", 8).alias("up")).join(second.select(F.col("lead").alias("up"), "decision", "cut", "one"), ["up", "decision"]).select(part(F.col("lead")).alias("part"), "lead", "decision", "cut", "one")
+    above = above if lead > 2 else above.where(F.lit(False))
+    values = placed.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(_values(depth, lead, top, buckets), "bucket int, key long, value float")
+    answers = stored(asked.select("block", "bucket", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answers, "block long, kind int, bucket int, answer binary"), "lm-answers")
+    discard(counts, nodes, second)
     release(spark)
-    nodes = model.where("last is not null").groupBy("last", "decision").agg(F.sum("zeros"), F.sum("ones"), F.sum("inner")).collect()
-    top = Top(*(np.array([r[k] for r in nodes]) for k in range(5)))
-
-    def valued(batches):
-        for b in batches:
-            keys = b.column(0).to_numpy().astype(np.uint64)
-            mixed = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<f4").reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top.log10(keys, mixed, depth))], ["key", "value"])
-
-    values = model.where("key is not null").select("key", "mixed").mapInArrow(valued, "key long, value double").unionByName(sums.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    answers = asked.select("block", "key").join(values, "key").select(F.col("block").alias("__block"), "key", "value")
+    answers = answers.unionByName(known.where("block is not null").select("block", "kind", "bucket", "answer"))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_scores(id_col, depth, int(total), int(distinct)), schema)
+    return texts.select("block", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(id_col, depth, int(total), int(distinct), buckets), schema)
