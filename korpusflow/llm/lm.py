@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,13 +77,16 @@ class Block:
     def keys(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams, sorted, and how often each stands in a training text."""
         out = np.repeat(held, self.sizes)
-        learned, other = [], []
+        learned, other = np.empty(len(out) - int(out.sum()), dtype=np.uint64), []
+        end = 0
         for at, every in self.windows():
             of = out[at : at + STEP]
-            learned.append(every[~of])
             other.append(_sorted_counts(every[of])[0])
-        known, n = _sorted_counts(np.concatenate(learned))
-        del learned
+            own = every[~of]
+            learned[end : end + len(own)] = own
+            end += len(own)
+        known, n = _sorted_counts(learned)
+        del learned, out
         asked = np.setdiff1d(np.concatenate(other), known)
         every = np.concatenate([known, asked])
         order = np.argsort(every)
@@ -90,19 +94,23 @@ class Block:
 
     def distinct(self) -> np.ndarray:
         """The same grams alone."""
-        return self.keys(np.zeros(len(self.texts), dtype=bool))[0]
-
-    def words(self, held: np.ndarray) -> dict[bytes, int]:
-        """The words and the end, and how often each stands in training texts."""
-        known: Counter[bytes] = Counter()
-        asked: set[bytes] = {_END_WORD}
-        for text, out in zip(self.texts, held.tolist(), strict=True):
-            if out:
-                asked.update(text.split())
-            else:
-                known.update(text.split())
-        known[_END_WORD] = int((~held).sum())
-        return dict.fromkeys(sorted(asked | known.keys()), 0) | known
+        every = np.empty(len(self.data), dtype=np.uint64)
+        for at, part in self.windows():
+            every[at : at + len(part)] = part
+        return _sorted_counts(every)[0]
+
+    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words and the end, as they come; the place of each token among them, text by text, the end last; each text's tokens."""
+        index: defaultdict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        place, end = index.__getitem__, index[_END_WORD]
+        every, sizes = array("i"), []
+        for text in self.texts:
+            before = len(every)
+            every.extend(map(place, text.split()))
+            every.append(end)
+            sizes.append(len(every) - before)
+        return list(index), np.frombuffer(every, dtype=np.int32), np.array(sizes, dtype=np.int64)
 
     def scores(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Sum of the values of each text's grams."""
@@ -123,11 +131,8 @@ def in_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray
         yield int(of[order[a]]), order[a:b]
 
 
-def words_in_buckets(words: list[bytes], buckets: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(xxhash.xxh64_intdigest(w) % buckets, []).append(w)
-    return out
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 _ASKED = "block long, kind int, bucket int, keys binary, n binary"
@@ -147,10 +152,10 @@ def _deal(block_bytes: int, depth: int, buckets: int):
         del table, sink
         keys, n = block.keys(held)
         out += [(number, _GRAMS, b, packed(keys[at]), planes(n[at].astype(np.uint32))) for b, at in in_buckets(keys, buckets)]
-        words = block.words(held)
-        for b, own in words_in_buckets(list(words), buckets).items():
-            out.append((number, _WORDS, b, b" ".join(own), planes(np.array([words[w] for w in own], dtype=np.uint32))))
-        del keys, n, block, words
+        words, places, sizes = block.words()
+        n = np.bincount(places[np.repeat(~held, sizes)], minlength=len(words)).astype(np.uint32)
+        out += [(number, _WORDS, b, b" ".join([words[k] for k in at.tolist()]), planes(n[at])) for b, at in in_buckets(word_hashes(words), buckets)]
+        del keys, n, block, words, places
         give_back()
         for at in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["block", "kind", "bucket", "keys", "n"])
@@ -284,8 +289,6 @@ class Table:
 
 
 def _scores(id_col: str, depth: int, total: int, distinct: int, buckets: int):
-    unseen = math.log10(1 / (total + distinct + 1))
-
     def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
         table = pa.ipc.open_stream(dealt.column("keys")[0].as_buffer()).read_all()
         block = Block(_lowered(table), depth)
@@ -296,21 +299,15 @@ def _scores(id_col: str, depth: int, total: int, distinct: int, buckets: int):
             value[at] = np.frombuffer(got[_GRAMS, b], dtype=np.float32)
         score = block.scores(keys, value)
         del keys, value
-        logs: dict[bytes, float] = {}
-        every = sorted({w for t in block.texts for w in t.split()} | {_END_WORD})
-        for b, own in words_in_buckets(every, buckets).items():
-            logs.update(zip(own, (math.log10((c + 1) / (total + distinct + 1)) for c in unplanes(got[_WORDS, b], np.int64).tolist()), strict=True))
-        del got, every
-        base, known, tokens = [], [], []
-        end_value = logs[_END_WORD]
-        for text in block.texts:
-            values = [logs[w] for w in text.split()]
-            values.append(end_value)
-            base.append(math.fsum(values))
-            tokens.append(len(values))
-            known.append(len(values) - (values.count(unseen) if total else len(values)))
+        words, places, tokens = block.words()
+        count = np.empty(len(words), dtype=np.int64)
+        for b, at in in_buckets(word_hashes(words), buckets):
+            count[at] = unplanes(got[_WORDS, b], np.int64)
+        starts = np.cumsum(tokens) - tokens
+        base = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1))[places], starts)
+        known = np.add.reduceat((count > 0).astype(np.int64)[places], starts)
         size = block.sizes
-        del block, logs
+        del block, words, places, got
         give_back()
         return pa.table({
             id_col: table.column("id"), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
