@@ -74,6 +74,13 @@ def give_back() -> None:
         trim(0)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of these has."""
+    while any(name in df.columns for df in frames):
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -14,16 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusflow.llm import weak
+from korpusflow.llm.common import fresh, stored
 from korpusflow.llm.weak import ABSTAIN, BAD, GOOD
 
 RESULTS = ("weak_label", "score", "kept")
 DIMENSIONS = 1 << 12
-#: About so many documents, drawn by their hash, train the scorer.
+#: So many documents, those of the smallest hash, train the scorer.
 SAMPLE = 20_000
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 _SPACE = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
+_ENDS = (b".", b"!", b"?", b":", b";", b'"', b")")
 _MARKED = re.compile(rb"[#*$%&|<>](?=\s|\Z)")
 
 
@@ -88,6 +91,9 @@ def profile(text: str) -> Profile:
         _by((len(data) - len(data.translate(None, _MARKS))) / size, 0.12, 0.25, n >= 5),
     ]
     total = pieces.total()
+    capitals = sum(map(str.isupper, words)) / max(1, n)
+    ended = sum(x.rstrip().endswith(_ENDS) for x in lines)
+    votes += [_by(capitals, 0.1, 0.4, n >= 8), _by(-ended / max(1, len(lines)), -0.5, -0.1, len(lines) >= 3)]
     values = {k: (v / total) ** 0.5 for k, v in pieces.items()}
     for name, value in (("same", same), ("repeats", max(0.0, 0.5 - distinct) if n >= 20 else 0.0), ("lines", twice if len(lines) >= 4 else 0.0), ("single", single if n >= 8 else 0.0)):
         if value:
@@ -96,13 +102,13 @@ def profile(text: str) -> Profile:
     return Profile(votes, list(values), list(values.values()))
 
 
-
-
 def _by(value: float, good: float, bad: float, enough: bool) -> int:
     return ABSTAIN if not enough else GOOD if value <= good else BAD if value >= bad else ABSTAIN
 
 
 N_LABELLERS = len(profile("").votes)
+#: The labellers that look for symbols, repeated words, repeated lines, capitals.
+KINDS = ((0, 5, 6, 7), (2, 3, 4), (3, 4), (1, 8))
 
 
 def train(places: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, rounds: int = 400, decay: float = 1e-5) -> np.ndarray:
@@ -124,42 +130,46 @@ def train(places: list[np.ndarray], values: list[np.ndarray], target: np.ndarray
     return w
 
 
-def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """Adds weak_label (posterior of the labellers' votes), score (the scorer's probability) and kept (score >= threshold).
 
+    keep: the columns to return beside these (default: all).  Columns of docs
+    named like a result give way to it.
+
     Labellers' accuracies come from the vote patterns of all documents.  The
-    scorer learns from about `sample` documents, drawn by the hash of id and
-    text.  Features are the shapes of words, hashed, and how much repeats; not
-    the words, so that it judges any language.  Null and empty texts get no
-    votes and no features: they are judged by the constant alone.
+    scorer learns from the `sample` different (id, text) of the smallest hash.
+    Features are the shapes of words, hashed, and how much repeats; not the
+    words, so that it judges any language.  Null and empty texts get no votes
+    and no features: they are judged by the constant alone.  Each row is judged
+    by itself, whatever its id; rows that repeat are judged alike; an empty
+    table gives no row.  Each text is read once: its votes and features are
+    written with the columns to return.
     """
-    docs = docs.drop(*RESULTS)
-
-    @F.pandas_udf("long")
-    def pattern(texts: pd.Series) -> pd.Series:
-        return pd.Series([weak.code(profile(t or "").votes) for t in texts], dtype="int64")
-
-    got = docs.select(pattern(F.col(text_col)).alias("code")).groupBy("code").count().collect()  # at most 3 ** N_LABELLERS rows
-    codes, n = np.array([r[0] for r in got], dtype=np.int64), np.array([r[1] for r in got], dtype=np.int64)
-    labels = weak.fit(codes, n, N_LABELLERS)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    seen, drawn = fresh("__seen", docs), fresh("__drawn", docs)
 
     @F.pandas_udf("code long, places array<int>, values array<float>")
-    def features(texts: pd.Series) -> pd.DataFrame:
-        got = [profile(t or "") for t in texts]
-        return pd.DataFrame({"code": pd.Series([weak.code(p.votes) for p in got], dtype="int64"), "places": [np.array(p.places, np.int32) for p in got], "values": [np.array(p.values, np.float32) for p in got]})
-
-    share = min(1.0, sample / max(1, int(n.sum())))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.substring(text_col, 1, 256)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.where(drawn).select(F.col(id_col), F.col(text_col)).select(features(F.col(text_col)).alias("f")).select("f.*").collect()
+    def features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            got = [profile(t or "") for t in batch]
+            yield pd.DataFrame({"code": pd.Series([weak.code(p.votes) for p in got], dtype="int64"), "places": [np.array(p.places, np.int32) for p in got], "values": [np.array(p.values, np.float32) for p in got]})
+
+    table = stored(docs.select(*names, F.xxhash64(id_col, text_col).alias(drawn), features(F.col(text_col)).alias(seen)), "quality-features")
+    found = table.groupBy(F.col(f"{seen}.code")).count().collect()  # at most 3 ** N_LABELLERS rows
+    codes, n = np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=np.int64)
+    labels = weak.fit(codes, n, N_LABELLERS, KINDS)
+    share = min(1.0, 1.2 * sample / max(1, int(n.sum())))  # different rows are fewer than rows; a limit follows
+    few = table.where(F.col(drawn) < int((share - 0.5) * 2**64)) if share < 1 else table
+    rows = few.select(F.col(drawn).alias("k"), F.col(seen).alias("f")).dropDuplicates(["k"]).orderBy("k").limit(sample).select("f.*").collect()
     target = labels.posterior(weak.digits(np.array([r[0] for r in rows], dtype=np.int64), N_LABELLERS)) if rows else np.zeros(0)
     weights = train([np.array(r[1], np.int64) for r in rows], [np.array(r[2], np.float64) for r in rows], target)
 
     @F.pandas_udf("weak_label double, score double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        got = [profile(t or "") for t in texts]
-        label = labels.posterior(np.array([p.votes for p in got], dtype=np.int64).reshape(-1, N_LABELLERS))
-        z = [weights[-1] + sum(weights[p.places] * p.values) if p.places else weights[-1] for p in got]
-        return pd.DataFrame({"weak_label": label, "score": 1 / (1 + np.exp(-np.array(z, dtype=np.float64)))})
-
-    out = docs.withColumn("__judged", judged(F.col(text_col))).withColumn("weak_label", F.col("__judged.weak_label")).withColumn("score", F.col("__judged.score"))
-    return out.withColumn("kept", F.col("score") >= threshold).drop("__judged")
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for got in batches:
+            label = labels.posterior(weak.digits(got["code"].to_numpy(dtype=np.int64), N_LABELLERS))
+            z = [weights[-1] + (weights[p] @ v if len(p) else 0.0) for p, v in zip(got["places"], got["values"], strict=True)]
+            yield pd.DataFrame({"weak_label": label, "score": 1 / (1 + np.exp(-np.array(z, dtype=np.float64)))})
+
+    out = table.select(*names, judged(F.col(seen)).alias(seen)).select(*names, F.col(f"{seen}.weak_label").alias("weak_label"), F.col(f"{seen}.score").alias("score"))
+    return out.withColumn("kept", F.col("score") >= threshold)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusflow.llm import weak
+from korpusflow.llm.common import fresh, stored
 from korpusflow.llm.weak import ABSTAIN, BAD, GOOD
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes", "quality", "kept")
@@ -18,6 +20,7 @@ WINDOW = 8
 _SPACE = b" \t\n\x0b\x0c\r"
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARKED = re.compile(rb"[#*$%&|<>](?=[\s]|\Z)")
+_ENDS = (b".", b"!", b"?", b":", b";", b'"', b")")
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -35,6 +38,10 @@ class Counts:
     n_lower: int
     n_marks: int
     n_marked: int
+    n_caps: int
+    line_bytes: int
+    dup_bytes: int
+    n_ended: int
 
 
 def repeat_words(words: list[bytes], hashes: np.ndarray) -> int:
@@ -67,10 +74,12 @@ def counts(text: str) -> Counts:
     hashes = np.fromiter(map(hash, words), np.int64, len(words))
     symbols = sum(map(text.count, "#*$%&|<>"))
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
+    distinct, line_bytes = set(lines), sum(map(len, lines))
     return Counts(
-        len(words), len(text) - sum(text.count(chr(c)) for c in _SPACE), symbols, len(lines) - len(set(lines)), repeat_words(words, hashes),
+        len(words), len(text) - sum(text.count(chr(c)) for c in _SPACE), symbols, len(lines) - len(distinct), repeat_words(words, hashes),
         len(lines), len(np.unique(hashes)), int((hashes[1:] == hashes[:-1]).sum()), len(data) - len(data.translate(None, _UPPER)), len(data) - len(data.translate(None, _UPPER.lower())),
         len(data) - len(data.translate(None, _MARKS)), len(_MARKED.findall(data)) if symbols else 0,
+        sum(map(bytes.isupper, words)), line_bytes, line_bytes - sum(map(len, distinct)), sum(x.rstrip().endswith(_ENDS) for x in lines),
     )
 
 
@@ -80,64 +89,72 @@ def _by(value: float, good: float, bad: float) -> int:
 
 
 def votes(c: Counts) -> list[int]:
-    """One vote for each rule."""
+    """One vote for each rule.  Some are strict, some rough: what each is worth is learnt."""
     n, mean = c.n_words, c.word_chars / max(1, c.n_words)
     enough = n >= 10
     letters = c.n_upper + c.n_lower
     return [
-        GOOD if n >= 50 else ABSTAIN,
-        (GOOD if 4 <= mean <= 6.6 else BAD if mean < 3 or mean > 12 else ABSTAIN) if enough else ABSTAIN,
+        GOOD if n >= 50 else BAD if n < 15 else ABSTAIN,
+        (GOOD if 4 <= mean <= 6.6 else BAD if mean < 3.6 or mean > 9 else ABSTAIN) if enough else ABSTAIN,
         _by(c.n_symbols / n, 0.02, 0.1) if enough else ABSTAIN,
         _by(c.n_marked / n, 0.02, 0.1) if enough else ABSTAIN,
-        _by(c.n_marks / c.word_chars, 0.1, 0.25) if enough else ABSTAIN,
+        _by(c.n_marks / c.word_chars, 0.1, 0.2) if enough else ABSTAIN,
         _by(c.n_dup_lines / c.n_lines, 0.1, 0.4) if c.n_lines >= 3 else ABSTAIN,
         _by(c.n_repeat_words / n, 0.1, 0.3) if enough else ABSTAIN,
         _by(c.n_same / n, 0.05, 0.2) if enough else ABSTAIN,
         _by(-c.n_distinct / n, -0.45, -0.25) if enough else ABSTAIN,
         _by(c.n_upper / letters, 0.2, 0.5) if letters >= 20 else ABSTAIN,
+        _by(c.n_caps / n, 0.1, 0.4) if enough else ABSTAIN,
+        _by(c.dup_bytes / c.line_bytes, 0.1, 0.4) if c.n_lines >= 3 else ABSTAIN,
+        _by(-c.n_ended / c.n_lines, -0.5, -0.1) if c.n_lines >= 3 else ABSTAIN,
     ]
 
 
-N_RULES = len(votes(Counts(*[0] * 12)))
+N_RULES = len(votes(Counts(*[0] * 16)))
+#: The rules that look for symbols, repeated words, repeated lines, capitals.
+KINDS = ((2, 3, 4), (6, 7, 8), (5, 6, 11), (9, 10))
 
 
 def failed(c: Counts) -> bool:
     return c.n_words < 20 or 100 * c.n_repeat_words > 30 * c.n_words
 
 
-def pattern_counts(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """How many documents have each pattern of votes: at most 3 ** N_RULES sums reach the driver."""
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes array<int>"
 
-    @F.pandas_udf("long")
-    def pattern(texts: pd.Series) -> pd.Series:
-        return pd.Series([weak.code(votes(counts(t or ""))) for t in texts], dtype="int64")
 
-    got = docs.select(pattern(F.col(text_col)).alias("code")).groupBy("code").count().collect()
-    return np.array([r[0] for r in got], dtype=np.int64), np.array([r[1] for r in got], dtype=np.int64)
-
-
-def quality_rules(docs: DataFrame, text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", *, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """Adds RESULTS to each row: the counts, base_failed, the votes, quality (posterior probability of a good document), kept.
 
+    keep: the columns to return beside these (default: all).  Columns of docs
+    named like a result give way to it.
+
     kept: not base_failed and quality >= threshold.  A null or empty text has
-    no words, so base_failed holds.  The accuracies come from all rows; the
-    second pass over the texts is row by row, nothing is shuffled but the
-    counts of vote patterns.
+    no words, so base_failed holds.  Each row is judged by itself, whatever its
+    id; rows that repeat are judged alike; an empty table gives no row.  The
+    accuracies come from all rows.  Each text is read once: what the rules see
+    is written with the columns to return; then nothing is shuffled but the
+    counts of vote patterns (3 ** N_RULES at most), which alone reach the
+    driver.
     """
-    docs = docs.drop(*RESULTS)
-    model = weak.fit(*pattern_counts(docs, text_col), N_RULES)
-
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes array<int>, quality double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            c = counts(t or "")
-            rows.append((c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, failed(c), votes(c)))
-        out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"])
-        out["quality"] = model.posterior(np.array(out["votes"].tolist(), dtype=np.int64).reshape(-1, N_RULES))
-        return out
-
-    out = docs.withColumn("__judged", judged(F.col(text_col)))
-    for name in RESULTS[:-1]:
-        out = out.withColumn(name, F.col(f"__judged.{name}"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("__judged")
+    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    seen = fresh("__seen", docs)
+
+    @F.pandas_udf(_COUNTS)
+    def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            rows = []
+            for t in batch:
+                c = counts(t or "")
+                rows.append((c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, failed(c), votes(c)))
+            yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"])
+
+    table = stored(docs.select(*names, judged(F.col(text_col)).alias(seen)), "quality-rules")
+    code = F.col(f"{seen}.votes")
+    found = table.groupBy(weak.code_column(code, N_RULES).alias("code")).count().collect()
+    model = weak.fit(np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=np.int64), N_RULES, KINDS)
+    # one odds sum for each class: the posterior as a column expression
+    share, finds = np.log(model.share), model.finds
+    z = [sum((F.when(F.get(code, F.lit(j)) == BAD, float(np.log(finds[c, j]))).when(F.get(code, F.lit(j)) == GOOD, float(np.log1p(-finds[c, j]))).otherwise(0.0) for j in range(N_RULES)), F.lit(float(share[c]))) for c in range(len(share))]
+    quality = 1 / (1 + sum((F.exp(x - z[0]) for x in z[1:]), F.lit(0.0)))
+    out = table.select(*names, *(F.col(f"{seen}.{c}").alias(c) for c in RESULTS[:7]), quality.alias("quality"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -50,11 +50,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(documents(spark, sf_dir)).select("doc_id", "weak_label", "score", "kept")
+    return quality_classifier(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "weak_label", "score", "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality_rules(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 
 #: Votes.
 BAD, ABSTAIN, GOOD = 0, 1, 2
-#: Prior belief of how a labeller votes on a bad and on a good document, worth PRIOR of all documents.  Bad documents
-#: are bad in some way or other, so most labellers find nothing wrong with them; a good one is seldom found bad.
-BELIEF = np.array([[0.3, 0.2, 0.5], [0.004, 0.25, 0.746]])
-PRIOR = 0.05
-#: A labeller is better than chance and not infallible, and abstaining says nothing: bounds of the log odds that a vote can give.
-BOUNDS = np.array([[-6.0, -2.0], [0.0, 0.0], [0.0, 0.35]])
-#: Share of good documents to begin with.
-BEGIN = 0.8
-#: Bounds of the share of good documents.
-SHARE = (0.5, 0.95)
+#: Where EM begins: how often a labeller that votes finds a document bad, by the document's class: a good one, one bad in
+#: the labeller's own kind, one bad in another kind; and the share of good documents.
+BEGIN = {"good": 0.02, "own": 0.8, "other": 0.05, "share": 0.85}
+#: Pseudo-documents that vote as EM began, for each class and labeller, and for each class.
+PRIOR = 1.0
+#: A labeller finds what it looks for more often than chance finds it, a good document seldom; nobody is infallible.
+LEAST, MOST = {"good": 1e-3, "own": 0.25, "other": 1e-3}, {"good": 0.25, "own": 0.995, "other": 0.95}
 
 
 def code(votes: list[int]) -> int:
@@ -40,37 +37,47 @@ def digits(codes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """log odds that each vote of each labeller gives, and those of a document without votes."""
+    """Class 0: good documents; the others are bad, each in a kind of its own.
 
-    odds: np.ndarray
-    base: float
+    finds: how often each labeller that votes finds a document of each class bad.
+    """
+
+    finds: np.ndarray  # classes x labellers
+    share: np.ndarray
     accuracy: np.ndarray
 
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of each class for documents with these votes (rows).  Abstaining says nothing."""
+        z = np.log(self.share) + (votes == BAD) @ np.log(self.finds).T + (votes == GOOD) @ np.log1p(-self.finds).T
+        z = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+        return z / z.sum(1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability that documents with these votes (rows) are good."""
-        z = self.base + sum(self.odds[j, votes[:, j]] for j in range(len(self.odds)))
-        return 1 / (1 + np.exp(-z))
+        return self.classes(votes)[:, 0]
 
 
-def fit(codes: np.ndarray, counts: np.ndarray, n: int, rounds: int = 50) -> LabelModel:
-    """EM over the counts of vote patterns (at most 3 ** n); labellers are independent given the class.
+def fit(codes: np.ndarray, counts: np.ndarray, n: int, kinds: tuple[tuple[int, ...], ...] | None = None, rounds: int = 100) -> LabelModel:
+    """EM over the counts of vote patterns (at most 3 ** n).
 
-    The belief above enters as pseudo-counts in proportion to the corpus, so
-    results don't depend on its size; bounds keep a corpus without bad
-    documents from being split by something else.
+    kinds: the ways in which a document can be bad, each the labellers that
+    look for it (default: one way, which all look for).  Labellers overlap, so
+    those of a kind tell how far each can be trusted: given the class they are
+    independent, and without it their votes go together.  A labeller whose
+    bad votes the others of its kind don't share is learnt to err, and one
+    that belongs to no kind only tells what the classes look like to it.
     """
+    kinds = kinds or (tuple(range(n)),)
     votes, weight = digits(np.asarray(codes, dtype=np.int64), n), np.asarray(counts, dtype=np.float64)
-    total = max(weight.sum(), 1.0)
-    model = LabelModel(np.tile(np.clip(np.log(BELIEF[1] / BELIEF[0]), BOUNDS[:, 0], BOUNDS[:, 1]), (n, 1)), float(np.log(BEGIN / (1 - BEGIN))), np.zeros(n))
+    name = np.array([["good"] * n, *(["own" if j in kind else "other" for j in range(n)] for kind in kinds)])
+    begin, least, most = (np.vectorize(x.get, otypes=[float])(name) for x in (BEGIN, LEAST, MOST))
+    share = np.array([BEGIN["share"], *[(1 - BEGIN["share"]) / len(kinds)] * len(kinds)])
+    model = LabelModel(begin, share, np.zeros(n))
+    bad, good = (votes == BAD).astype(float), (votes == GOOD).astype(float)
     for _ in range(rounds):
-        good = model.posterior(votes) if len(votes) else np.zeros(0)
-        odds, right = np.zeros((n, 3)), np.zeros(n)
-        for j in range(n):
-            table = np.stack([np.bincount(votes[:, j], weights=weight * p, minlength=3) for p in (1 - good, good)]) if len(votes) else np.zeros((2, 3))
-            table += BELIEF * PRIOR * total
-            share = table / table.sum(1, keepdims=True)
-            odds[j] = np.clip(np.log(share[1] / share[0]), BOUNDS[:, 0], BOUNDS[:, 1])
-            right[j] = (table[0, BAD] + table[1, GOOD]) / (table[:, BAD] + table[:, GOOD]).sum()
-        share = np.clip(((weight * good).sum() + PRIOR * total * BEGIN) / (total * (1 + PRIOR)), *SHARE)
-        model = LabelModel(odds, float(np.log(share / (1 - share))), right)
+        own = model.classes(votes) * weight[:, None]
+        found, passed = own.T @ bad, own.T @ good
+        finds = np.clip((found + PRIOR * begin) / (found + passed + PRIOR), least, most)
+        right = (found[1:].sum(0) + passed[0]) / np.maximum(1e-9, (found + passed).sum(0))
+        model = LabelModel(finds, (own.sum(0) + PRIOR * share) / (own.sum() + PRIOR), right)
     return model
