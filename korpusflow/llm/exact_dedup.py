@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import ascii_lower
+from korpusflow.llm.common import ascii_lower, fresh
 
 #: Characters that the second level hashes.
 PREFIX = 64
@@ -31,21 +31,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each and share their fate: kept is true on every row whose id is the
     group's largest.  A null id stays only if its group has no other.
     """
+    length, head, sha, opened, n, largest, size = (fresh(f"__{x}", docs) for x in ("length", "prefix", "sha", "open", "n", "keep", "size"))
     base = docs.drop(*RESULTS, *([digest_col] if digest_col else []))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = base.withColumn("__length", F.octet_length(text)).withColumn("__prefix", F.xxhash64(ascii_lower(F.substring(text, 1, prefix))))
+    base = base.withColumn(length, F.octet_length(text)).withColumn(head, F.xxhash64(ascii_lower(F.substring(text, 1, prefix))))
     whole = F.sha2(ascii_lower(text), 256)
     if digest_col:
         base = base.withColumn(digest_col, whole)
-    lengths = base.groupBy("__length").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__length")
-    prefixes = (
-        base.select("__length", "__prefix").join(lengths, "__length", "left_semi")
-        .groupBy("__length", "__prefix").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__length", "__prefix", F.lit(True).alias("__open"))
-    )
-    full = base.join(prefixes, ["__length", "__prefix"], "left").withColumn("__sha", F.when(F.col("__open"), F.col(digest_col) if digest_col else whole))
-    groups = full.where("__sha is not null").groupBy("__sha").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    # the counts by length come from those by length and prefix: no row is dealt by its length alone
+    both = base.groupBy(length, head).agg(F.count(F.lit(1)).alias(n))
+    lengths = both.groupBy(length).agg(F.sum(n).alias(n)).where(F.col(n) > 1).select(length)
+    prefixes = both.where(F.col(n) > 1).join(lengths, length, "left_semi").select(length, head, F.lit(True).alias(opened))
+    full = base.join(prefixes, [length, head], "left").withColumn(sha, F.when(F.col(opened), F.col(digest_col) if digest_col else whole))
+    groups = full.where(F.col(sha).isNotNull()).groupBy(sha).agg(F.max(id_col).alias(largest), F.count(F.lit(1)).alias(size)).where(F.col(size) > 1)
     # decided rows have no digest; a key of their own each keeps them from meeting in one task
-    alone = F.concat(F.lit("-"), F.xxhash64(id_col, "__length", "__prefix").cast("string"))
-    out = full.withColumn("__sha", F.coalesce("__sha", alone)).join(groups, "__sha", "left").withColumn("keep_id", F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep")))
-    out = out.withColumn("group_size", F.coalesce("__size", F.lit(1).cast("long"))).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-    return out.drop("__length", "__prefix", "__open", "__sha", "__keep", "__size")
+    alone = F.concat(F.lit("-"), F.xxhash64(id_col, length, head).cast("string"))
+    out = full.withColumn(sha, F.coalesce(sha, alone)).join(groups, sha, "left").withColumn("keep_id", F.when(F.col(size).isNull(), F.col(id_col)).otherwise(F.col(largest)))
+    out = out.withColumn("group_size", F.coalesce(size, F.lit(1).cast("long"))).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    return out.drop(length, head, opened, sha, largest, size)
