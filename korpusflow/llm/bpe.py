@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -177,13 +176,6 @@ class Encoder:
         self.whole = of
         self.shorter = {i: next((of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in of), _NONE) for t, i in of.items()}
         self.size = [len(t) for t in v.tokens]
-        #: For each node of the automaton, by its bytes: the longest token on the way to it.
-        self.node: dict[str, int] = {}
-        for t in of:
-            best = _NONE
-            for k in range(1, len(t) + 1):
-                best = of.get(t[:k], best)
-                self.node[t[:k].decode("latin-1")] = best
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.line_end, *ends = (array("I", [v.ids[x.encode()]]).tobytes() for x in ("\n", *ENDS))
@@ -193,13 +185,19 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(v.tokens), dtype=np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(lengths)])
 
+    def matches(self, word: bytes) -> list[int]:
+        """The longest token that begins at each place, by one pass of the automaton: of one place the later match is the longer."""
+        out = [_NONE] * len(word)
+        for end, (size, token) in self.trie.iter(word.decode("latin-1")):
+            out[end - size + 1] = token
+        return out
+
     def encode_word(self, word: bytes) -> list[int]:
         """The longest token at each place that fits the one before; where none does, a step back."""
         if (whole := self.whole.get(word)) is not None:
             return [whole]
-        longest, node, shorter, fits, size = self.trie.longest_prefix, self.node, self.shorter, self.fits, self.size
-        text = rest = word.decode("latin-1")
-        token, last, at, n = node[rest[: longest(rest)]], -1, 0, len(word)
+        longest, shorter, fits, size = self.matches(word), self.shorter, self.fits, self.size
+        token, last, at, n = longest[0], -1, 0, len(word)
         out: list[int] = []
         dead: set[int] = set()
         while True:
@@ -208,8 +206,7 @@ class Encoder:
                 out.append(token)
                 if end == n:
                     return out
-                at, last, rest = end, token, text[end:]
-                token = node[rest[: longest(rest)]]
+                at, last, token = end, token, longest[end]
                 continue
             token = shorter[token]
             while token == _NONE:  # nothing fits here: this place can't be a seam
@@ -312,6 +309,3 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
