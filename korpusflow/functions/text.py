@@ -32,8 +32,13 @@ def normalized(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Array of normalized tokens.  A token of accents only stays, as the empty string; null text has none."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda x: x != ""), normalized)
+    """Array of normalized tokens.  A token of accents only stays, as the empty string; null text has none.
+
+    Lower-casing changes no separator, so it is done once for the whole text; only texts with an accent look at each token again.
+    """
+    text = F.coalesce(text, F.lit(""))
+    parts = F.array_remove(F.split(lowered(text), SEPARATORS), "")
+    return F.when(F.contains(text, F.lit(ACCENT)), F.transform(parts, unaccented)).otherwise(parts)
 
 
 def common_prefix(a: Column, b: Column) -> Column:

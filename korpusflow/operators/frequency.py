@@ -16,27 +16,29 @@ unknown: Callable[[Column], Column] = lambda pos: pos == UNKNOWN
 content: Callable[[Column], Column] = lambda pos: (pos != UNKNOWN) & ~is_function_word(pos)
 
 
-def frequency_list(corpus: DataFrame, dictionary: Dictionary | None = None, where: Callable[[Column], Column] | None = None, ordered: bool = True) -> DataFrame:
-    """lemma, pos, occ, ipm (per million tokens of the whole corpus), texts.
+def frequency_list(corpus: DataFrame, dictionary: Dictionary | None = None, where: Callable[[Column], Column] | None = None, ordered: bool = True, ids: bool = False) -> DataFrame:
+    """lemma, pos, occ, ipm (per million tokens of the whole corpus), texts: a row for each lexeme, with its lexeme_id if `ids`.
 
-    Counts of (lemma, document) are summed before the second shuffle, so a
-    word that is everywhere costs a row for each document and task at most.
-    The filter stands before the counting.
+    Two lexemes of one lemma and part of speech are two rows.  Counts of
+    (lexeme, document) are summed before the second shuffle, so a word that is
+    everywhere costs a row for each document and task at most.  The filter
+    stands before the counting.
     """
     words = totals(corpus).first()["total_words"]
-    rows = annotated(corpus, dictionary).select("doc_id", "lemma", "pos")
+    rows = annotated(corpus, dictionary).select("doc_id", "lexeme_id", "lemma", "pos")
     if where is not None:
         rows = rows.where(where(F.col("pos")))
-    each = rows.groupBy("lemma", "pos", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    out = each.groupBy("lemma", "pos").agg(F.sum("n").alias("occ"), F.count(F.lit(1)).alias("texts"))
-    out = out.select("lemma", "pos", "occ", F.round(F.col("occ") * 1e6 / F.lit(max(words, 1)), 6).alias("ipm"), "texts")
+    lexeme = ["lemma", "pos"] if dictionary is None and not ids else ["lexeme_id", "lemma", "pos"]
+    each = rows.groupBy(*lexeme, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    out = each.groupBy(*lexeme).agg(F.sum("n").alias("occ"), F.count(F.lit(1)).alias("texts"))
+    out = out.select(*lexeme, "occ", F.round(F.col("occ") * 1e6 / F.lit(max(words, 1)), 6).alias("ipm"), "texts")
     rank = F.array_position(F.array(*map(F.lit, POS_ORDER)), F.col("pos"))
-    return out.orderBy(F.desc("occ"), "lemma", rank) if ordered else out
+    out = out.orderBy(F.desc("occ"), "lemma", rank) if ordered else out
+    return out if ids else out.select("lemma", "pos", "occ", "ipm", "texts")
 
 
-def postings(corpus: DataFrame, dictionary: Dictionary | None = None, terms: list[str] | None = None) -> DataFrame:
-    """lemma, doc_id, tf; only for the given lemmas, if any."""
-    rows = annotated(corpus, dictionary).select("lemma", "doc_id")
-    if terms is not None:
-        rows = rows.where(F.col("lemma").isin(*terms) if terms else F.lit(False))
-    return rows.groupBy("lemma", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(corpus: DataFrame, dictionary: Dictionary | None = None, ids: bool = False) -> DataFrame:
+    """lemma, doc_id, tf: a row for each lexeme and document, with the lexeme_id if `ids`."""
+    lexeme = ["lemma"] if dictionary is None and not ids else ["lexeme_id", "lemma"]
+    out = annotated(corpus, dictionary).select(*lexeme, "doc_id").groupBy(*lexeme, "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    return out if ids else out.select("lemma", "doc_id", "tf")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import deyotized
-from korpusflow.sources.corpus import cut, token_table
-from korpusflow.sources.resources import FUNCTION_POS, LIST_POS, MERGING_LINKS
+from korpusflow.sources.corpus import cut, load, save, token_table
+from korpusflow.sources.resources import FUNCTION_POS, LIST_POS, MERGING_LINKS, strange_tags
 
 UNKNOWN = "UNKN"
+TABLES = ("lexemes", "forms", "links", "frequencies")
 
 
 def link_roots(links: DataFrame) -> DataFrame:
@@ -91,19 +92,46 @@ class Dictionary:
             .join(lexemes.select(F.col("lexeme_id").alias("resolved_id"), "lemma", "pos"), "resolved_id")
         )
         first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("freq"), "lexeme_id", "yo", "f_idx"))
-        return rows.withColumn("k", first).where("k = 1").select(F.col("key").alias("surface"), "form", F.col("lexeme_id").alias("form_lexeme_id"), "form_lemma", "form_pos", "grammemes", F.col("resolved_id").alias("lexeme_id"), "lemma", "pos")
+        return rows.withColumn("k", first).where("k = 1").select(F.col("key").alias("surface"), "form", "f_idx", F.col("lexeme_id").alias("form_lexeme_id"), "form_lemma", "form_pos", "grammemes", F.col("resolved_id").alias("lexeme_id"), "lemma", "pos")
+
+    def check(self) -> None:
+        """Refuses a dictionary with grammemes, parts of speech or list tags that aren't known."""
+        if bad := strange_tags(self.lexemes, self.forms, self.frequencies).orderBy("kind", "tag").limit(20).collect():
+            raise ValueError("unknown tags: " + ", ".join(f"{r.kind} {r.tag} ({r.n})" for r in bad))
+
+    def save(self, path: str) -> None:
+        """A snapshot of the four tables; unknown words aren't part of it."""
+        for name in TABLES:
+            save(getattr(self, name), f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Dictionary:
+        return cls(*(load(spark, f"{path}/{name}") for name in TABLES))
+
+
+def unknown_id(surface) -> Column:
+    """The lexeme of a surface that no form has: below zero, 62 bits of its hash.  Counts and matches go by id and lemma, so two words never become one."""
+    return -2 - F.shiftrightunsigned(F.xxhash64(surface), 2)
+
+
+def unknown_columns(surface: str = "surface") -> dict[str, Column]:
+    """What an unknown surface is: its own form and lemma."""
+    own, none = F.col(surface), F.array().cast("array<string>")
+    return {
+        "form": own, "f_idx": F.lit(0), "form_lexeme_id": unknown_id(own), "form_lemma": own, "form_pos": F.lit(UNKNOWN), "grammemes": none,
+        "lexeme_id": unknown_id(own), "lemma": own, "pos": F.lit(UNKNOWN),
+    }
 
 
 def annotate(tokens: DataFrame, dictionary: Dictionary | None) -> DataFrame:
-    """Adds form, form_lemma, form_pos, grammemes, lemma, pos to a token table; an unknown surface is its own lemma.
+    """Adds form, f_idx, form_lexeme_id, form_lemma, form_pos, grammemes, lexeme_id, lemma, pos to a token table; an unknown surface is a lexeme of its own.
 
     One left join on the surface: Spark broadcasts the resolution by its size, or shuffles.
     """
-    none = F.array().cast("array<string>")
+    unknown = unknown_columns()
     if dictionary is None:
-        return tokens.select("*", F.col("surface").alias("form"), F.col("surface").alias("form_lemma"), F.lit(UNKNOWN).alias("form_pos"), none.alias("grammemes"), F.col("surface").alias("lemma"), F.lit(UNKNOWN).alias("pos"))
-    out = tokens.join(dictionary.resolution(), "surface", "left")
-    return out.select(*tokens.columns, *(F.coalesce(c, F.col("surface")).alias(c) for c in ("form", "form_lemma")), F.coalesce("form_pos", F.lit(UNKNOWN)).alias("form_pos"), F.coalesce("grammemes", none).alias("grammemes"), F.coalesce("lemma", "surface").alias("lemma"), F.coalesce("pos", F.lit(UNKNOWN)).alias("pos"))
+        return tokens.select("*", *(c.alias(name) for name, c in unknown.items()))
+    return tokens.join(dictionary.resolution(), "surface", "left").select(*tokens.columns, *(F.coalesce(name, c).alias(name) for name, c in unknown.items()))
 
 
 def annotated(corpus: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
@@ -118,3 +146,29 @@ def resolve_words(spark: SparkSession, words: list[str], dictionary: Dictionary
     """A few words (a phrase, a query) looked up as tokens are."""
     rows = annotate(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "at long, surface string"), dictionary)
     return [r.asDict() for r in rows.orderBy("at").collect()]
+
+
+def resolve_entries(entries: DataFrame, dictionary: Dictionary | None) -> DataFrame:
+    """entry -> lexeme_id, lemma: words of patterns and thesauri.
+
+    A word is looked up as a token is; one that is no form but a lemma stands
+    for the first such lexeme, as resolved; any other is an unknown word.
+    """
+    found = annotate(entries.select(F.col("entry").alias("surface")).distinct(), dictionary).select("surface", "lexeme_id", "lemma", "pos")
+    if dictionary is not None:
+        lexemes = dictionary.lexemes.select("lexeme_id", F.col("lemma").alias("surface")).groupBy("surface").agg(F.min("lexeme_id").alias("lexeme_id"))
+        named = lexemes.join(dictionary.resolved(), "lexeme_id").select("surface", F.col("resolved_id").alias("lexeme_id"))
+        named = named.join(dictionary.lexemes.select("lexeme_id", "lemma"), "lexeme_id").select("surface", F.col("lexeme_id").alias("named_id"), F.col("lemma").alias("named"))
+        found = found.join(named, "surface", "left")
+        use = (F.col("pos") == UNKNOWN) & F.col("named_id").isNotNull()
+        found = found.select("surface", F.when(use, F.col("named_id")).otherwise(F.col("lexeme_id")).alias("lexeme_id"), F.when(use, F.col("named")).otherwise(F.col("lemma")).alias("lemma"))
+    return found.select(F.col("surface").alias("entry"), "lexeme_id", "lemma")
+
+
+def surfaces_of(spark: SparkSession, lexemes: list[tuple[int, str]], dictionary: Dictionary | None) -> list[list[str]]:
+    """For each of a few lexemes (id, lemma) the surfaces that resolve to it: a lexeme's forms, or an unknown word itself."""
+    if dictionary is None:
+        return [[lemma] for _, lemma in lexemes]
+    known = sorted({i for i, _ in lexemes if i >= 0})
+    found = dictionary.resolution().where(F.col("lexeme_id").isin(*known)).select("lexeme_id", "surface").collect() if known else []
+    return [sorted(r.surface for r in found if r.lexeme_id == i) if i >= 0 else [lemma] for i, lemma in lexemes]

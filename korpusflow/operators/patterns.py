@@ -4,56 +4,92 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.operators.morphology import Dictionary, annotated, resolve_words
+from korpusflow.functions.text import tokens
+from korpusflow.operators.morphology import Dictionary, annotate, resolve_entries, resolve_words
 from korpusflow.sources.corpus import totals
 
 Model = tuple[str, list[dict]]
 
 
-def fold_synonyms(rows: DataFrame, thesaurus: DataFrame | None) -> DataFrame:
-    """Adds `folded`: the head of the last synset that has the lemma as a synonym, else the lemma."""
+def synonym_heads(thesaurus: DataFrame, dictionary: Dictionary | None) -> DataFrame:
+    """lexeme_id, lemma -> folded_id, folded: the head of the last synset that has the lexeme as a synonym."""
+    entries = thesaurus.select(F.col("head").alias("entry")).unionByName(thesaurus.select(F.col("synonym").alias("entry")))
+    found = resolve_entries(entries, dictionary)
+    head = found.select(F.col("entry").alias("head"), F.struct(F.col("lexeme_id").alias("id"), F.col("lemma").alias("lemma")).alias("to"))
+    rows = thesaurus.join(found.select(F.col("entry").alias("synonym"), "lexeme_id", "lemma"), "synonym").join(head, "head")
+    return rows.groupBy("lexeme_id", "lemma").agg(F.max_by("to", "ord").alias("to")).select("lexeme_id", "lemma", F.col("to.id").alias("folded_id"), F.col("to.lemma").alias("folded"))
+
+
+def fitting_surfaces(spark, models: list[Model], dictionary: Dictionary | None, thesaurus: DataFrame | None) -> DataFrame:
+    """surface, model (number), k: which surfaces fit which places.
+
+    All that a place asks of a token follows from its surface, so places are
+    tested once for each surface of the dictionary, not for each token.  Of
+    unknown surfaces only those that patterns or the thesaurus name can fit.
+    """
+    named = sorted({t[x] for _, ts in models for t in ts for x in ("lemma", "wordform") if t.get(x)})
+    lemmas = {r.entry: (r.lexeme_id, r.lemma) for r in resolve_entries(spark.createDataFrame([(x,) for x in named], "entry string"), dictionary).collect()} if named else {}
+    forms = {x: r for x, r in zip(named, resolve_words(spark, named, dictionary), strict=True)} if named else {}
+    words = spark.createDataFrame([(x,) for x in named], "surface string")
+    if thesaurus is not None:
+        words = words.unionByName(thesaurus.select(F.col("synonym").alias("surface"))).distinct()
+    if dictionary is not None:
+        words = words.unionByName(dictionary.resolution().select("surface")).distinct()
+    rows = annotate(words, dictionary)
     if thesaurus is None:
-        return rows.withColumn("folded", F.col("lemma"))
-    heads = thesaurus.groupBy(F.col("synonym").alias("lemma")).agg(F.max_by("head", "ord").alias("head"))
-    return rows.join(heads, "lemma", "left").withColumn("folded", F.coalesce("head", "lemma")).drop("head")
+        rows = rows.withColumn("folded_id", F.col("lexeme_id")).withColumn("folded", F.col("lemma"))
+    else:
+        rows = rows.join(synonym_heads(thesaurus, dictionary), ["lexeme_id", "lemma"], "left").withColumn("folded_id", F.coalesce("folded_id", "lexeme_id")).withColumn("folded", F.coalesce("folded", "lemma"))
+
+    def fits(token: dict) -> Column:
+        tests = [F.array_contains("grammemes", g) for g in token.get("grammemes") or []]
+        if token.get("lemma"):
+            i, lemma = lemmas[token["lemma"]]
+            tests.append((F.col("folded_id") == i) & (F.col("folded") == lemma) | (F.col("form_lexeme_id") == i) & (F.col("form_lemma") == lemma))
+        if token.get("wordform"):
+            r = forms[token["wordform"]]
+            tests.append((F.col("form_lexeme_id") == r["form_lexeme_id"]) & (F.col("f_idx") == r["f_idx"]) & (F.col("form") == r["form"]))
+        return reduce(lambda a, b: a & b, tests)
+
+    places = [F.when(fits(t), F.struct(F.lit(n).alias("model"), F.lit(k).alias("k"))) for n, (_, ts) in enumerate(models) for k, t in enumerate(ts) if asks(t)]
+    empty = F.array().cast("array<struct<model: int, k: int>>")
+    return rows.select("surface", F.explode(F.array_compact(F.array(*places)) if places else empty).alias("p")).select("surface", "p.model", "p.k")
 
 
-def _fits(token: dict, at: Column, forms: dict[str, str]) -> Column:
-    """Whether one token (a struct) fits one place of a pattern."""
-    tests = [F.lit(True)]
-    if token.get("lemma"):
-        tests.append((at["folded"] == token["lemma"]) | (at["form_lemma"] == token["lemma"]))
-    if token.get("wordform"):
-        tests.append(at["form"] == forms[token["wordform"]])
-    tests += [F.array_contains(at["grammemes"], g) for g in token.get("grammemes") or []]
-    return reduce(lambda a, b: a & b, tests)
+def asks(token: dict) -> bool:
+    return bool(token.get("lemma") or token.get("wordform") or token.get("grammemes"))
 
 
 def pattern_hits(corpus: DataFrame, models: list[Model], dictionary: Dictionary | None = None, thesaurus: DataFrame | None = None, include_last: bool = False) -> DataFrame:
     """model, doc_id, pos, forms (surfaces, space-joined): every match, overlapping ones too.
 
-    The last possible start of a document isn't tried unless include_last.  All
-    models are tested in one pass over windows of tokens: one shuffle by document.
+    The last possible start of a document isn't tried unless include_last.  A
+    row is a document, whatever its id.  Each place of each pattern votes for
+    the starts at which it would fit; a start with the votes of all places that
+    ask for something is a match.  Only tokens that fit a place are shuffled.
     """
-    most = max(len(t) for _, t in models)
-    w = Window.partitionBy("doc_id").orderBy("at")
-    rows = fold_synonyms(annotated(corpus, dictionary), thesaurus).select("doc_id", "at", F.struct("surface", "form", "form_lemma", "grammemes", "folded").alias("t"))
-    spark = corpus.sparkSession
-    words = sorted({t["wordform"] for _, ts in models for t in ts if t.get("wordform")})
-    forms = {x: r["form"] for x, r in zip(words, resolve_words(spark, words, dictionary), strict=True)} if words else {}
-    rows = rows.select("doc_id", "at", "t", *(F.lead("t", j).over(w).alias(f"t{j}") for j in range(1, most)), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
-    tests = []
-    for name, ts in models:
-        m = len(ts)
-        places = [F.col("t") if j == 0 else F.col(f"t{j}") for j in range(m)]
-        inside = F.col("at") + m <= F.col("n") if include_last else F.col("at") + m < F.col("n")
-        ok = reduce(lambda a, b: a & b, [inside, *(_fits(t, p, forms) for t, p in zip(ts, places, strict=True))])
-        tests.append(F.when(ok, F.struct(F.lit(name).alias("model"), F.concat_ws(" ", *(p["surface"] for p in places)).alias("forms"))))
-    hits = rows.select("doc_id", F.col("at").alias("pos"), F.explode(F.array_compact(F.array(*tests))).alias("h"))
-    return hits.select("h.model", "doc_id", F.col("pos").cast("long").alias("pos"), "h.forms")
+    m = F.element_at(F.array(*(F.lit(len(ts)) for _, ts in models)), F.col("model") + 1)
+    need = F.element_at(F.array(*(F.lit(sum(map(asks, ts))) for _, ts in models)), F.col("model") + 1)
+    docs = corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w"))
+    most = max((len(ts) for _, ts in models), default=1)
+    # each token with those before and behind it that a pattern could reach
+    at = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), F.get("w", i).alias("surface"), F.slice("w", F.greatest(F.lit(1), i + 2 - most), F.least(i, F.lit(most - 1)) + most).alias("around")))
+    rows = docs.where(F.size("w") > 0).select("row", "doc_id", F.size("w").alias("n"), F.explode(at).alias("t")).select("row", "doc_id", "n", "t.*")
+    fitting = fitting_surfaces(corpus.sparkSession, models, dictionary, thesaurus)
+    free = [n for n, (_, ts) in enumerate(models) if ts and not any(map(asks, ts))]
+    votes = rows.join(fitting, "surface").withColumn("start", F.col("at") - F.col("k"))
+    inside = (F.col("start") >= 0) & ((F.col("start") + m <= F.col("n")) if include_last else (F.col("start") + m < F.col("n")))
+    words = F.slice("around", F.col("start") - F.greatest(F.lit(0), F.col("at") - most + 1) + 1, m)
+    votes = votes.where(inside).select("row", "doc_id", "model", "start", F.array_join(words, " ").alias("forms"))
+    found = votes.groupBy("row", "model", "start").agg(F.count(F.lit(1)).alias("c"), F.first("doc_id").alias("doc_id"), F.first("forms").alias("forms")).where(F.col("c") == need)
+    if free:  # patterns that ask for nothing fit wherever there is room
+        every = rows.withColumn("k", F.lit(0)).select("*", F.explode(F.array(*map(F.lit, free))).alias("model")).withColumn("start", F.col("at")).where(inside)
+        found = found.select("model", "doc_id", "start", "forms").unionByName(every.select("model", "doc_id", "start", F.array_join(words, " ").alias("forms")))
+    name = F.element_at(F.array(*(F.lit(x) for x, _ in models)), F.col("model") + 1)
+    return found.select(name.alias("model"), "doc_id", F.col("start").cast("long").alias("pos"), "forms")
 
 
 def pattern_stats(corpus: DataFrame, models: list[Model], dictionary: Dictionary | None = None, thesaurus: DataFrame | None = None, include_last: bool = False) -> DataFrame:

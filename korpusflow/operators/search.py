@@ -2,45 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import tokens
-from korpusflow.operators.frequency import postings
-from korpusflow.operators.morphology import Dictionary, resolve_words
-from korpusflow.sources.corpus import lengths
+from korpusflow.operators.morphology import Dictionary, resolve_entries, resolve_words, surfaces_of
 from korpusflow.sources.resources import FUNCTION_POS
 
 K1, B = 2.0, 0.75
 
 
-def query_terms(corpus: DataFrame, query: str, dictionary: Dictionary | None = None, thesaurus: DataFrame | None = None) -> list[str]:
-    """Distinct lemmas of the query without function words (by the form), and their synonyms one step down."""
+def query_lexemes(corpus: DataFrame, query: str, dictionary: Dictionary | None = None, thesaurus: DataFrame | None = None) -> list[tuple[int, str]]:
+    """Distinct lexemes (id, lemma) of the query without function words (by the form), and their synonyms one step down."""
     spark = corpus.sparkSession
     words = spark.range(1).select(tokens(F.lit(query)).alias("w")).first()["w"]
-    lemmas = {r["lemma"] for r in resolve_words(spark, words, dictionary) if r["form_pos"] not in FUNCTION_POS} if words else set()
-    if thesaurus is not None and lemmas:
-        found = [r["synonym"] for r in thesaurus.where(F.col("head").isin(*sorted(lemmas))).select("synonym").distinct().collect()]
-        lemmas |= {r["lemma"] for r in resolve_words(spark, found, dictionary)} if found else set()
-    return sorted(lemmas)
+    lexemes = {(r["lexeme_id"], r["lemma"]) for r in resolve_words(spark, words, dictionary) if r["form_pos"] not in FUNCTION_POS} if words else set()
+    if thesaurus is not None and lexemes:
+        entries = thesaurus.select(F.col("head").alias("entry")).unionByName(thesaurus.select(F.col("synonym").alias("entry")))
+        found = resolve_entries(entries, dictionary)
+        heads = found.where(F.col("lexeme_id").isin(*(i for i, _ in lexemes))).select(F.col("entry").alias("head"), F.col("lemma").alias("own"), F.col("lexeme_id").alias("head_id"))
+        rows = thesaurus.join(heads, "head").join(found.select(F.col("entry").alias("synonym"), "lexeme_id", "lemma"), "synonym")
+        lexemes |= {(r.lexeme_id, r.lemma) for r in rows.select("head_id", "own", "lexeme_id", "lemma").distinct().collect() if (r.head_id, r.own) in lexemes}
+    return sorted(lexemes)
+
+
+def query_terms(corpus: DataFrame, query: str, dictionary: Dictionary | None = None, thesaurus: DataFrame | None = None) -> list[str]:
+    return sorted({lemma for _, lemma in query_lexemes(corpus, query, dictionary, thesaurus)})
+
+
+def _count(own: list[str]) -> Column:
+    return F.size(F.filter("hits", lambda x: x.isin(*own)))
 
 
 def bm25(corpus: DataFrame, query: str, dictionary: Dictionary | None = None, thesaurus: DataFrame | None = None, k: int | None = None) -> DataFrame:
-    """doc_id, score > 0, best first.  idf isn't floored: a lemma in more than half of the documents subtracts.
+    """doc_id, score > 0, best first.  idf isn't floored: a lexeme in more than half of the documents subtracts.
 
-    Only the query's lemmas are indexed; lengths join by document after that.
+    A row is a document, whatever its id.  A lexeme is counted where one of its
+    surfaces stands, in the row's own tokens: the first pass sums lengths and
+    document frequencies, the second scores; nothing is joined or shuffled but
+    these sums and the sorted result.
     """
-    terms = query_terms(corpus, query, dictionary, thesaurus)
-    size = lengths(corpus)
-    n, words = size.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    average = words / n if n else 1.0
-    tf = postings(corpus, dictionary, terms)
-    idf = {r["lemma"]: r["df"] for r in tf.groupBy("lemma").agg(F.count(F.lit(1)).alias("df")).collect()}  # one row for each query lemma
-    import math
-
-    weight = F.lit(0.0)
-    for term, df in sorted(idf.items()):
-        weight = F.when(F.col("lemma") == term, F.lit(math.log((n - df + 0.5) / (df + 0.5)))).otherwise(weight)
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(average or 1.0)))
-    out = tf.join(size, "doc_id").groupBy("doc_id").agg(F.round(F.sum(weight * saturated), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id")
+    spark = corpus.sparkSession
+    lexemes = query_lexemes(corpus, query, dictionary, thesaurus)
+    surfaces = surfaces_of(spark, lexemes, dictionary)
+    every = sorted({x for own in surfaces for x in own})
+    rows = corpus.select("doc_id", tokens(F.col("text")).alias("w"))
+    hits = F.filter("w", lambda x: x.isin(*every)) if every else F.slice("w", 1, 0)
+    rows = rows.select("doc_id", F.size("w").alias("n"), hits.alias("hits"))
+    rows = rows.select("doc_id", "n", *(_count(own).alias(f"tf{j}") for j, own in enumerate(surfaces)))
+    first = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), *(F.count(F.when(F.col(f"tf{j}") > 0, 1)) for j in range(len(lexemes)))).first()
+    n, average = first[0], first[1] / first[0] if first[0] and first[1] else 1.0
+    score = F.lit(0.0)
+    for j, df in enumerate(first[2:]):
+        tf = F.col(f"tf{j}")
+        score = score + F.lit(math.log((n - df + 0.5) / (df + 0.5))) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(average))))
+    out = rows.select("doc_id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id")
     return out.limit(k) if k else out

@@ -50,7 +50,7 @@ def toy_thesaurus(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.table_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return C.table_corpus(C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "doc_id", "text")
 
 
 def _tok(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
@@ -196,6 +196,18 @@ def stable_ngrams_containing(spark, d):
     return ngrams.lookup(ngrams.stable_ngrams(documents(spark, d), 3, 5, 0.7), ["der"])
 
 
+@query(f"""WITH RECURSIVE {_tok()}, lv AS (
+        SELECT doc_id, p, 2 AS n, w[p] || ' ' || w[p + 1] AS gram, count(*) OVER (PARTITION BY w[p] || ' ' || w[p + 1]) AS occ FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM docs WHERE len(w) > 1)
+        UNION ALL SELECT doc_id, p, n, gram, count(*) OVER (PARTITION BY gram) AS occ FROM (SELECT l.doc_id, l.p, l.n + 1 AS n, l.gram || ' ' || d.w[l.p + l.n] AS gram FROM lv l JOIN docs d USING (doc_id) WHERE l.occ >= 4 AND l.p + l.n <= len(d.w))),
+    c AS (SELECT gram, n, any_value(occ) AS occ, count(DISTINCT doc_id) AS df FROM lv WHERE occ >= 2 GROUP BY gram, n),
+    e AS (SELECT gram, max(occ) AS ext FROM (SELECT substring(gram, 1, length(gram) - strpos(reverse(gram), ' ')) AS gram, occ FROM c WHERE n > 2
+          UNION ALL SELECT substring(gram, strpos(gram, ' ') + 1), occ FROM c WHERE n > 2) GROUP BY gram)
+    SELECT gram, n, occ, df, round(occ / words * ln(files / df), 6) AS tfidf FROM c LEFT JOIN e USING (gram), total WHERE occ >= 5 AND (ext IS NULL OR CAST(ext AS FLOAT) <= CAST(occ AS FLOAT) * CAST(0.7 AS FLOAT))""")
+def stable_ngrams_all(spark, d):
+    """Of any length."""
+    return ngrams.stable_ngrams(documents(spark, d), None, 5, 0.7, ordered=True)
+
+
 _PHRASE = "released under the mit license".split()
 _INSIDE = ", ".join(repr(" ".join(_PHRASE[a:b])) for a in range(5) for b in range(a + 2, 6))
 

@@ -36,6 +36,18 @@ def table_corpus(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out anew, row by row; one of more stays as it is."""
+    sc = df.sparkSession.sparkContext
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(sc.defaultParallelism) if splits < sc.defaultParallelism else df
+
+
+def rows_of(corpus: DataFrame) -> DataFrame:
+    """row, doc_id, w (tokens), stored: a row's key can't change, and ids may be null or repeat."""
+    return cut(corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w")))
+
+
 def token_table(corpus: DataFrame) -> DataFrame:
     """doc_id, at (0-based), surface: a narrow step; the text itself doesn't travel with its tokens."""
     return corpus.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("at", "surface"))
@@ -56,11 +68,11 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot, or a plain message if there is none."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        raise FileNotFoundError(f"no snapshot at {path}; build it first") from e
+    """A snapshot, or a plain message if there is none; what else may be wrong with it stays an error of its own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        raise FileNotFoundError(f"no snapshot at {path}; build it first")
+    return spark.read.parquet(path)
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:

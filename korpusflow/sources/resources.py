@@ -19,8 +19,31 @@ LIST_POS = {
     "s": "NOUN", "s.PROP": "NOUN", "a": "ADJF", "num": "NUMR", "anum": "ADJF", "v": "INFN", "adv": "ADVB", "spro": "NPRO", "apro": "ADJF", "advpro": "ADVB",
     "pr": "PREP", "conj": "CONJ", "part": "PRCL", "intj": "INTJ", "init": "NOUN",
 }
+#: Function words' parts of speech (fixed values).
 FUNCTION_POS = ("NPRO", "PREP", "CONJ", "PRCL", "INTJ")
 
+#: The dictionary's grammemes (fixed values): parts of speech, names of categories, then the rest.
+GRAMMEMES = tuple(
+    """POST NOUN ADJF ADJS COMP VERB INFN PRTF PRTS GRND NUMR ADVB NPRO PRED PREP CONJ PRCL INTJ
+    ANim GNdr NMbr CAse ASpc TRns PErs TEns MOod INvl VOic
+    anim inan masc femn neut ms-f sing plur nomn gent datv accs ablt loct voct gen1 gen2 acc2 loc1 loc2
+    perf impf tran intr 1per 2per 3per pres past futr indc impr incl excl actv pssv
+    Sgtm Pltm Fixd Abbr Name Surn Patr Geox Orgn Trad Subx Supr Qual Apro Anum Poss V-ey V-oy Cmp2 V-ej
+    Impe Impx Mult Refl Infr Slng Arch Litr Erro Dist Ques Dmns Prnt V-be V-en V-ie V-bi Fimp Prdx Coun Coll V-sh Af-p
+    Inmx Vpre Anph Init Adjx Ms-f Hypo""".split()
+)
+
+
+def strange_tags(lexemes: DataFrame, forms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """kind ('grammeme', 'part of speech' or 'list tag'), tag, n: what the tables above don't know."""
+    tags = lexemes.select(F.explode("grammemes").alias("tag")).unionByName(forms.select(F.explode("grammemes").alias("tag"))).where(~F.col("tag").isin(*GRAMMEMES))
+    pos = lexemes.select(F.col("pos").alias("tag")).where(~F.col("tag").isin(*POS_ORDER))
+    listed = frequencies.select(F.col("list_pos").alias("tag")).where(~F.col("tag").isin(*LIST_POS, *POS_ORDER[:-1]))
+    kinds = (("grammeme", tags), ("part of speech", pos), ("list tag", listed))
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), "tag") for kind, df in kinds)).groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("n"))
+
 
 def _tags(g):
     return F.coalesce(F.transform(g, lambda x: x["_v"]), F.array().cast("array<string>"))
