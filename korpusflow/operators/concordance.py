@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from korpusflow.functions.text import tokens
 from korpusflow.operators.morphology import Dictionary, annotate, resolve_words, surfaces_of
+from korpusflow.sources.corpus import once, token_rows
 
 
 def phrase_lexemes(corpus: DataFrame, phrase: str, dictionary: Dictionary | None) -> list[tuple[int, str]]:
@@ -24,15 +25,16 @@ def _matches(corpus: DataFrame, phrase: str, dictionary: Dictionary | None, cont
     """doc_id, pos, left, right (surfaces) of each match.
 
     A lexeme is met where one of its surfaces stands, so a row's own tokens tell where the phrase is: nothing is joined
-    or shuffled for it, a row is a document whatever its id, and rows without the first word end early.
+    or shuffled for it, a row is a document whatever its id, and only places of the first word are looked at.
     """
     places = surfaces_of(corpus.sparkSession, phrase_lexemes(corpus, phrase, dictionary), dictionary)
     m = len(places)
-    docs = corpus.select("doc_id", tokens(F.col("text")).alias("w"))
+    docs = token_rows(corpus)
     w = F.col("w")
     fits = lambda p: reduce(lambda a, b: a & b, [F.get(w, p + j).isin(*own) for j, own in enumerate(places)])
-    docs = docs.where((F.size(w) >= m) & F.exists(w, lambda x: x.isin(*places[0])))
-    hits = docs.select("doc_id", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size(w) - m), fits)).alias("p"))
+    docs = docs.where(F.size(w) >= m)
+    first = once(docs, first=F.filter(F.sequence(F.lit(0), F.size(w) - m), lambda p: F.get(w, p).isin(*places[0])))
+    hits = first.select("doc_id", "w", F.explode(F.filter("first", fits) if m > 1 else F.col("first")).alias("p"))
     least = F.greatest(F.lit(0), F.col("p") - context)
     if compat:  # the left side of a match that is nearer to the beginning than that is empty, not cut
         least = F.when(F.col("p") >= context - m - 1, least).otherwise(F.col("p"))

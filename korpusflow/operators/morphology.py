@@ -73,26 +73,32 @@ class Dictionary:
         return hit.groupBy("lexeme_id").agg(F.max_by("freq", "line").alias("freq"))
 
     def resolved(self) -> DataFrame:
-        """lexeme_id, resolved_id, freq: a lexeme with roots is its most frequent root (ties: the lowest id), else itself."""
+        """Computed once and kept: lexeme_id, resolved_id, freq: a lexeme with roots is its most frequent root (ties: the lowest id), else itself."""
+        if (known := self.__dict__.get("_resolved")) is not None:
+            return known
         freq = self.lexeme_freq()
         roots = link_roots(self.links).join(freq.withColumnRenamed("lexeme_id", "root_id"), "root_id", "left").withColumn("freq", F.coalesce("freq", F.lit(0.0).cast("float")))
         best = roots.groupBy("lexeme_id").agg(F.max(F.struct("freq", (-F.col("root_id")).alias("minus"))).alias("b")).select("lexeme_id", (-F.col("b.minus")).alias("root_id"), F.col("b.freq").alias("root_freq"))
         own = self.lexemes.select("lexeme_id").join(freq, "lexeme_id", "left").join(best, "lexeme_id", "left")
-        return own.select("lexeme_id", F.coalesce("root_id", "lexeme_id").alias("resolved_id"), F.coalesce("root_freq", "freq", F.lit(0.0).cast("float")).alias("freq"))
+        self._resolved = cut(own.select("lexeme_id", F.coalesce("root_id", "lexeme_id").alias("resolved_id"), F.coalesce("root_freq", "freq", F.lit(0.0).cast("float")).alias("freq")))
+        return self._resolved
 
     def resolution(self) -> DataFrame:
-        """surface -> form, form_lexeme_id, form_lemma, form_pos, grammemes, lexeme_id, lemma, pos: one row for each key.
+        """surface -> form, f_idx, form_lexeme_id, form_lemma, form_pos, grammemes, lexeme_id, lemma, pos: one row for each key; computed once and kept.
 
         Of a key's forms the one whose resolved lexeme is the most frequent; of
         equals the first: lexemes in order, own spellings before those with е for ё.
         """
+        if (known := self.__dict__.get("_resolution")) is not None:
+            return known
         lexemes = self.lexemes.select("lexeme_id", "lemma", "pos")
         rows = (
             self.form_keys().join(self.resolved(), "lexeme_id").join(lexemes.select("lexeme_id", F.col("lemma").alias("form_lemma"), F.col("pos").alias("form_pos")), "lexeme_id")
             .join(lexemes.select(F.col("lexeme_id").alias("resolved_id"), "lemma", "pos"), "resolved_id")
         )
         first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("freq"), "lexeme_id", "yo", "f_idx"))
-        return rows.withColumn("k", first).where("k = 1").select(F.col("key").alias("surface"), "form", "f_idx", F.col("lexeme_id").alias("form_lexeme_id"), "form_lemma", "form_pos", "grammemes", F.col("resolved_id").alias("lexeme_id"), "lemma", "pos")
+        self._resolution = cut(rows.withColumn("k", first).where("k = 1").select(F.col("key").alias("surface"), "form", "f_idx", F.col("lexeme_id").alias("form_lexeme_id"), "form_lemma", "form_pos", "grammemes", F.col("resolved_id").alias("lexeme_id"), "lemma", "pos"))
+        return self._resolution
 
     def check(self) -> None:
         """Refuses a dictionary with grammemes, parts of speech or list tags that aren't known."""

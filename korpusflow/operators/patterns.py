@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.functions.text import tokens
 from korpusflow.operators.morphology import Dictionary, annotate, resolve_entries, resolve_words
-from korpusflow.sources.corpus import totals
+from korpusflow.sources.corpus import token_rows, totals
 
 Model = tuple[str, list[dict]]
 
@@ -73,11 +72,11 @@ def pattern_hits(corpus: DataFrame, models: list[Model], dictionary: Dictionary
     """
     m = F.element_at(F.array(*(F.lit(len(ts)) for _, ts in models)), F.col("model") + 1)
     need = F.element_at(F.array(*(F.lit(sum(map(asks, ts))) for _, ts in models)), F.col("model") + 1)
-    docs = corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w"))
+    docs = token_rows(corpus).select(F.monotonically_increasing_id().alias("row"), "doc_id", "w")
     most = max((len(ts) for _, ts in models), default=1)
     # each token with those before and behind it that a pattern could reach
-    at = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), F.get("w", i).alias("surface"), F.slice("w", F.greatest(F.lit(1), i + 2 - most), F.least(i, F.lit(most - 1)) + most).alias("around")))
-    rows = docs.where(F.size("w") > 0).select("row", "doc_id", F.size("w").alias("n"), F.explode(at).alias("t")).select("row", "doc_id", "n", "t.*")
+    around = F.slice("w", F.greatest(F.lit(1), F.col("at") + 2 - most), F.least(F.col("at"), F.lit(most - 1)) + most).alias("around")
+    rows = docs.select("row", "doc_id", "w", F.posexplode("w").alias("at", "surface")).select("row", "doc_id", F.size("w").alias("n"), "at", "surface", around)
     fitting = fitting_surfaces(corpus.sparkSession, models, dictionary, thesaurus)
     free = [n for n, (_, ts) in enumerate(models) if ts and not any(map(asks, ts))]
     votes = rows.join(fitting, "surface").withColumn("start", F.col("at") - F.col("k"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from korpusflow.functions.text import tokens
 from korpusflow.operators.morphology import Dictionary, resolve_entries, resolve_words, surfaces_of
+from korpusflow.sources.corpus import once, token_rows
 from korpusflow.sources.resources import FUNCTION_POS
 
 K1, B = 2.0, 0.75
@@ -48,9 +49,9 @@ def bm25(corpus: DataFrame, query: str, dictionary: Dictionary | None = None, th
     lexemes = query_lexemes(corpus, query, dictionary, thesaurus)
     surfaces = surfaces_of(spark, lexemes, dictionary)
     every = sorted({x for own in surfaces for x in own})
-    rows = corpus.select("doc_id", tokens(F.col("text")).alias("w"))
+    rows = token_rows(corpus)
     hits = F.filter("w", lambda x: x.isin(*every)) if every else F.slice("w", 1, 0)
-    rows = rows.select("doc_id", F.size("w").alias("n"), hits.alias("hits"))
+    rows = once(rows, n=F.size("w"), hits=hits).select("doc_id", "n", "hits")
     rows = rows.select("doc_id", "n", *(_count(own).alias(f"tf{j}") for j, own in enumerate(surfaces)))
     first = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), *(F.count(F.when(F.col(f"tf{j}") > 0, 1)) for j in range(len(lexemes)))).first()
     n, average = first[0], first[1] / first[0] if first[0] and first[1] else 1.0

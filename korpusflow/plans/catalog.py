@@ -295,6 +295,100 @@ def report_format(spark, d):
     return report.frequency_lines(frequency.frequency_list(documents(spark, d), toy(spark), ordered=False))
 
 
+#: A dictionary in which two lexemes share lemma and part of speech ('la', 'der'), words are inflected and links lead to a root.
+LEXEMES_2 = [
+    (1, "the", "PRCL", ["PRCL"]), (2, "of", "PREP", ["PREP"]), (4, "was", "VERB", ["VERB"]), (5, "be", "INFN", ["INFN"]), (12, "being", "GRND", ["GRND"]), (20, "la", "NOUN", ["NOUN"]), (21, "la", "NOUN", ["NOUN"]),
+    (22, "der", "NOUN", ["NOUN"]), (23, "der", "NOUN", ["NOUN"]), (24, "dié", "VERB", ["VERB"]),
+]
+FORMS_2 = [
+    (1, 0, "the", ["PRCL"]), (2, 0, "of", ["PREP"]), (4, 0, "was", ["VERB", "past"]), (4, 1, "is", ["VERB", "pres"]), (5, 0, "be", ["INFN"]), (5, 1, "to", ["INFN"]), (12, 0, "ing", ["GRND"]), (20, 0, "la", ["NOUN"]),
+    (20, 1, "en", ["NOUN"]), (21, 0, "la", ["NOUN"]), (21, 1, "el", ["NOUN", "masc"]), (22, 0, "der", ["NOUN"]), (22, 1, "und", ["NOUN"]), (23, 0, "die", ["NOUN", "femn"]), (24, 0, "die", ["VERB"]), (24, 1, "und", ["VERB"]),
+]
+LINKS_2 = [(5, 4, 3), (4, 12, 4), (1, 2, 7)]
+FREQUENCIES_2 = [("be", "v", 700.0, 0), ("la", "s", 5.0, 1), ("der", "s", 30.0, 2), ("dié", "VERB", 3.0, 3), ("was", "VERB", 9.0, 4)]
+THESAURUS_2 = [("is", "die", 0), ("is", "el", 1), ("und", "est", 2)]
+MODELS_2 = [
+    ("inflected", [{"lemma": "was"}]), ("synonym of inflected", [{"lemma": "ing"}, {"grammemes": ["PREP"]}]), ("one der", [{"lemma": "und"}, {}]), ("form", [{"wordform": "en"}, {"lemma": "la"}]), ("unknown", [{"lemma": "est"}]),
+]
+
+
+def homonyms(spark: SparkSession) -> morphology.Dictionary:
+    return morphology.Dictionary.of(spark, LEXEMES_2, FORMS_2, LINKS_2, FREQUENCIES_2)
+
+
+def _resolution_sql() -> str:
+    """CTEs up to res: the resolution of surfaces, worked out from the dictionary's own rows."""
+    from korpusflow.sources.resources import LIST_POS, MERGING_LINKS
+
+    names = ", ".join(f"('{a}', '{b}')" for a, b in LIST_POS.items())
+    return f"""lex AS (SELECT * FROM {_values([r[:3] for r in LEXEMES_2])} r(lexeme_id, lemma, pos)),
+        frm AS (SELECT * FROM {_values([(*r[:3], ' '.join(r[3])) for r in FORMS_2])} r(lexeme_id, f_idx, form, grammemes)),
+        lnk AS (SELECT dst AS child, src AS parent FROM {_values(LINKS_2)} r(src, dst, type) WHERE type IN {MERGING_LINKS}),
+        frq AS (SELECT lemma, coalesce(p.b, f.tag) AS pos, freq, line FROM {_values(FREQUENCIES_2)} f(lemma, tag, freq, line) LEFT JOIN (VALUES {names}) p(a, b) ON f.tag = p.a),
+        lkey AS (SELECT lexeme_id, lemma AS k, pos FROM lex UNION SELECT lexeme_id, translate(lemma, 'ёЁ', 'еЕ'), pos FROM lex),
+        lfrq AS (SELECT lexeme_id, arg_max(freq, line) AS freq FROM frq JOIN lkey ON frq.lemma = lkey.k AND frq.pos = lkey.pos GROUP BY lexeme_id),
+        up AS (SELECT child, parent FROM lnk UNION SELECT up.child, lnk.parent FROM up JOIN lnk ON up.parent = lnk.child),
+        rts AS (SELECT child, parent, coalesce(freq, 0) AS freq, row_number() OVER (PARTITION BY child ORDER BY coalesce(freq, 0) DESC, parent) AS k FROM up LEFT JOIN lfrq ON parent = lexeme_id WHERE parent NOT IN (SELECT child FROM lnk)),
+        rsd AS (SELECT l.lexeme_id, coalesce(r.parent, l.lexeme_id) AS resolved_id, coalesce(r.freq, f.freq, 0) AS freq FROM lex l LEFT JOIN (SELECT * FROM rts WHERE k = 1) r ON l.lexeme_id = r.child LEFT JOIN lfrq f ON l.lexeme_id = f.lexeme_id),
+        fkey AS (SELECT form AS k, 0 AS yo, * FROM frm UNION ALL SELECT translate(form, 'ёЁ', 'еЕ'), 1, * FROM frm WHERE form LIKE '%ё%' OR form LIKE '%Ё%'),
+        res AS (SELECT k AS surface, form, f_idx, f.lexeme_id AS form_lexeme_id, o.lemma AS form_lemma, o.pos AS form_pos, grammemes, r.resolved_id AS lexeme_id, t.lemma, t.pos
+                FROM fkey f JOIN rsd r ON f.lexeme_id = r.lexeme_id JOIN lex o ON f.lexeme_id = o.lexeme_id JOIN lex t ON r.resolved_id = t.lexeme_id
+                QUALIFY row_number() OVER (PARTITION BY k ORDER BY freq DESC, f.lexeme_id, yo, f_idx) = 1)"""
+
+
+#: ann: each token with its lexeme; `key` tells lexemes apart, unknown words by themselves.
+_ANN_2 = f"""{_resolution_sql()}, ann AS (SELECT t.*, coalesce(r.lemma, surface) AS lemma, coalesce(r.pos, 'UNKN') AS pos, coalesce(CAST(r.lexeme_id AS VARCHAR), '?' || surface) AS key,
+        coalesce(CAST(form_lexeme_id AS VARCHAR), '?' || surface) AS form_key, coalesce(grammemes, '') AS grammemes, form_pos, form FROM tok t LEFT JOIN res r USING (surface))"""
+
+
+def _key(word: str) -> str:
+    return f"coalesce((SELECT CAST(lexeme_id AS VARCHAR) FROM res WHERE surface = '{word}'), '?{word}')"
+
+
+_SYN_2 = f"syn AS (SELECT {{}} FROM {_values(THESAURUS_2)} r(head, synonym, ord) LEFT JOIN res h ON head = h.surface LEFT JOIN res s ON synonym = s.surface)".format(
+    "coalesce(CAST(h.lexeme_id AS VARCHAR), '?' || head) AS head, coalesce(CAST(s.lexeme_id AS VARCHAR), '?' || synonym) AS synonym, ord"
+)
+
+
+@query(f"WITH RECURSIVE {_resolution_sql()} SELECT surface, form, CAST(form_lexeme_id AS BIGINT) AS form_lexeme_id, form_pos, CAST(lexeme_id AS BIGINT) AS lexeme_id, lemma, pos FROM res")
+def dict_resolution(spark, d):
+    return homonyms(spark).resolution().select("surface", "form", "form_lexeme_id", "form_pos", "lexeme_id", "lemma", "pos")
+
+
+@query(f"""WITH RECURSIVE {_tok()}, {_ANN_2} SELECT CAST(key AS BIGINT) AS lexeme_id, any_value(lemma) AS lemma, any_value(pos) AS pos, count(*) AS occ, round(count(*) * 1e6 / any_value(words), 6) AS ipm, count(DISTINCT doc_id) AS texts
+    FROM ann, total WHERE pos <> 'UNKN' GROUP BY key""")
+def lemma_frequency_homonyms(spark, d):
+    return frequency.frequency_list(documents(spark, d), homonyms(spark), frequency.known, ids=True)
+
+
+@query(f"""WITH RECURSIVE {_tok()}, {_ANN_2}, near AS (SELECT doc_id, key, lag(key) OVER w AS lk, lag(lemma) OVER w AS ll, lead(key) OVER w AS rk, lead(lemma) OVER w AS rl FROM ann WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT "left", "right", freq FROM (SELECT any_value(ll) AS "left", '' AS "right", count(*) AS freq FROM near WHERE key = {_key('und')} AND lk IS NOT NULL GROUP BY lk
+    UNION ALL SELECT '', any_value(rl), count(*) FROM near WHERE key = {_key('und')} AND rk IS NOT NULL GROUP BY rk) WHERE freq >= 2""")
+def concordance_homonyms(spark, d):
+    return concordance.concordance(documents(spark, d), "und", 1, 2, "all", homonyms(spark))
+
+
+@query(f"""WITH RECURSIVE {_tok()}, {_ANN_2}, {_SYN_2}, head AS (SELECT synonym, arg_max(head, ord) AS head FROM syn GROUP BY synonym),
+    fold AS (SELECT a.*, coalesce(h.head, a.key) AS folded FROM ann a LEFT JOIN head h ON a.key = h.synonym),
+    win AS (SELECT doc_id, i, n, folded, form_key, form, lead(folded) OVER w AS folded1, lead(form_key) OVER w AS form_key1, lead(grammemes) OVER w AS grammemes1 FROM fold WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    hits AS (SELECT 'inflected' AS model, doc_id FROM win WHERE i + 1 < n AND {_key('was')} IN (folded, form_key)
+      UNION ALL SELECT 'synonym of inflected', doc_id FROM win WHERE i + 2 < n AND {_key('ing')} IN (folded, form_key) AND list_contains(string_split(grammemes1, ' '), 'PREP')
+      UNION ALL SELECT 'one der', doc_id FROM win WHERE i + 2 < n AND {_key('und')} IN (folded, form_key)
+      UNION ALL SELECT 'form', doc_id FROM win WHERE i + 2 < n AND form = 'en' AND {_key('la')} IN (folded1, form_key1)
+      UNION ALL SELECT 'unknown', doc_id FROM win WHERE i + 1 < n AND {_key('est')} IN (folded, form_key))
+    SELECT m.model, count(h.doc_id) AS freq, count(DISTINCT h.doc_id) AS texts, CASE WHEN count(h.doc_id) > 0 THEN round(count(h.doc_id) / any_value(words) * ln(any_value(files) / count(DISTINCT h.doc_id)), 6) END AS tfidf
+    FROM {_values([(name,) for name, _ in MODELS_2])} m(model) LEFT JOIN hits h ON m.model = h.model, total GROUP BY m.model""")
+def pattern_homonyms(spark, d):
+    return patterns.pattern_stats(documents(spark, d), MODELS_2, homonyms(spark), spark.createDataFrame(THESAURUS_2, "head string, synonym string, ord long"))
+
+
+@query(f"""WITH RECURSIVE {_tok()}, {_ANN_2}, {_SYN_2}, own AS (SELECT DISTINCT {_key('und')} AS key UNION SELECT {_key('to')}), terms AS (SELECT key FROM own UNION SELECT synonym FROM syn JOIN own ON syn.head = own.key),
+    tf AS (SELECT key, doc_id, count(*) AS tf, any_value(n) AS n FROM ann JOIN terms USING (key) GROUP BY key, doc_id), df AS (SELECT key, count(*) AS df FROM tf GROUP BY key)
+    SELECT doc_id, score FROM (SELECT doc_id, round(sum(ln((files - df + 0.5) / (df + 0.5)) * (tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * n / (words / files))))), 6) AS score FROM tf JOIN df USING (key), total GROUP BY doc_id) WHERE score > 0""")
+def bm25_homonyms(spark, d):
+    return search.bm25(documents(spark, d), "und the to", homonyms(spark), spark.createDataFrame(THESAURUS_2, "head string, synonym string, ord long"))
+
+
 _CONV = _tok("conversations", "CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)")
 
 

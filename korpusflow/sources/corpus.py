@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import tokens
@@ -43,6 +43,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if splits < sc.defaultParallelism else df
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once for a row.
+
+    A projection would be merged into what reads it, and each use would compute it again; a generator of one row isn't.
+    """
+    made = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select(*df.columns, F.inline(F.array(made)))
+
+
+def token_rows(corpus: DataFrame) -> DataFrame:
+    """doc_id, w: each row's tokens."""
+    text = corpus.select("doc_id", "text")
+    return once(text, w=tokens(F.col("text"))).select("doc_id", "w")
+
+
 def rows_of(corpus: DataFrame) -> DataFrame:
     """row, doc_id, w (tokens), stored: a row's key can't change, and ids may be null or repeat."""
     return cut(corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w")))
