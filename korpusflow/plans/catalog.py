@@ -64,8 +64,9 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
 
+#: key and form_key tell lexemes apart: a word that no form has isn't the lexeme whose lemma is spelt like it.
 _ANN = f"""ann AS (SELECT t.*, coalesce(form_lemma, surface) AS form_lemma, coalesce(form_pos, 'UNKN') AS form_pos, coalesce(grammemes, '') AS grammemes,
-        coalesce(lemma, surface) AS lemma, coalesce(pos, 'UNKN') AS pos
+        coalesce(lemma, surface) AS lemma, coalesce(pos, 'UNKN') AS pos, coalesce(lemma || '/' || pos, '?' || surface) AS key, coalesce(form_lemma || '/' || form_pos, '?' || surface) AS form_key
         FROM tok t LEFT JOIN (SELECT * FROM {_values(RESOLUTION)} r(form, form_lemma, form_pos, grammemes, lemma, pos)) r ON t.surface = r.form)"""
 
 
@@ -133,19 +134,19 @@ def document_frequency(spark, d):
     return frequency.postings(documents(spark, d)).groupBy("lemma").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query(f"WITH {_tok()}, {_ANN} SELECT lemma, doc_id, count(*) AS tf FROM ann GROUP BY lemma, doc_id")
+@query(f"WITH {_tok()}, {_ANN} SELECT any_value(lemma) AS lemma, doc_id, count(*) AS tf FROM ann GROUP BY key, doc_id")
 def postings(spark, d):
     return frequency.postings(documents(spark, d), toy(spark))
 
 
 def _concordance_sql(phrase: list[str], context: int, threshold: int, side: str, ann: bool) -> str:
     m = len(phrase)
-    source = f", {_ANN}, lem AS (SELECT doc_id, list(lemma ORDER BY i) AS w FROM ann GROUP BY doc_id)" if ann else ", lem AS (SELECT doc_id, w FROM docs)"
-    return f"""WITH {_tok()}{source}, places AS (SELECT doc_id, w, unnest(range(1, len(w) - {m} + 2)) AS p FROM lem WHERE len(w) >= {m}),
-        hit AS (SELECT w, p FROM places WHERE {' AND '.join(f"w[p + {k}] = '{x}'" for k, x in enumerate(phrase))}),
-        cut AS (SELECT w, p, a, b FROM hit, range(0, {context + 1}) ra(a), range(0, {context + 1}) rb(b) WHERE a + b BETWEEN 1 AND {context} AND {side} AND a < p AND p + {m} - 1 + b <= len(w))
-        SELECT CASE WHEN a > 0 THEN array_to_string(w[p - a:p - 1], ' ') ELSE '' END AS "left", CASE WHEN b > 0 THEN array_to_string(w[p + {m}:p + {m} - 1 + b], ' ') ELSE '' END AS "right", count(*) AS freq
-        FROM cut GROUP BY 1, 2 HAVING count(*) >= {threshold}"""
+    source = f", {_ANN}, lem AS (SELECT doc_id, list(lemma ORDER BY i) AS w, list(key ORDER BY i) AS x FROM ann GROUP BY doc_id)" if ann else ", lem AS (SELECT doc_id, w, w AS x FROM docs)"
+    return f"""WITH {_tok()}{source}, places AS (SELECT doc_id, w, x, unnest(range(1, len(w) - {m} + 2)) AS p FROM lem WHERE len(w) >= {m}),
+        hit AS (SELECT w, x, p FROM places WHERE {' AND '.join(f"x[p + {k}] = '{x}'" for k, x in enumerate(phrase))}),
+        cut AS (SELECT w, x, p, a, b FROM hit, range(0, {context + 1}) ra(a), range(0, {context + 1}) rb(b) WHERE a + b BETWEEN 1 AND {context} AND {side} AND a < p AND p + {m} - 1 + b <= len(w))
+        SELECT any_value(CASE WHEN a > 0 THEN array_to_string(w[p - a:p - 1], ' ') ELSE '' END) AS "left", any_value(CASE WHEN b > 0 THEN array_to_string(w[p + {m}:p + {m} - 1 + b], ' ') ELSE '' END) AS "right", count(*) AS freq
+        FROM cut GROUP BY CASE WHEN a > 0 THEN x[p - a:p - 1] END, CASE WHEN b > 0 THEN x[p + {m}:p + {m} - 1 + b] END HAVING count(*) >= {threshold}"""
 
 
 @query(_concordance_sql(["the", "the"], 2, 2, "b = 0", False))
@@ -158,7 +159,7 @@ def concordance_right(spark, d):
     return concordance.concordance(documents(spark, d), "The the", 2, 1, "right")
 
 
-@query(_concordance_sql(["be"], 2, 1, "a > 0 AND b > 0", True))
+@query(_concordance_sql(["be/VERB"], 2, 1, "a > 0 AND b > 0", True))
 def concordance_both(spark, d):
     return concordance.concordance(documents(spark, d), "was", 2, 1, "both", toy(spark))
 
@@ -217,18 +218,18 @@ def stable_ngram_lookup_nested(spark, d):
     return ngrams.lookup(ngrams.stable_ngrams(documents(spark, d), 5, 3, 0.9), _PHRASE)
 
 
-_FOLD = "fold AS (SELECT a.*, CASE lemma WHEN 'be' THEN 'der' WHEN 'will' THEN 'to' ELSE lemma END AS folded FROM ann a)"
+_FOLD = "fold AS (SELECT a.*, CASE key WHEN 'be/VERB' THEN 'der/ADJF' WHEN 'will/NOUN' THEN 'to/PREP' ELSE key END AS folded FROM ann a)"
 
 
 def _pattern_sql(fold: bool) -> str:
-    source = _FOLD if fold else "fold AS (SELECT a.*, lemma AS folded FROM ann a)"
-    lemma = lambda k, x: f"(folded{k} = '{x}' OR form_lemma{k} = '{x}')"
+    source = _FOLD if fold else "fold AS (SELECT a.*, key AS folded FROM ann a)"
+    lemma = lambda k, x: f"(folded{k} = '{x}' OR form_key{k} = '{x}')"
     has = lambda k, g: f"list_contains(string_split(grammemes{k}, ' '), '{g}')"
     tests = [
-        ("be NOUN", 2, f"{lemma(0, 'be')} AND {has(1, 'NOUN')}"), ("der any", 2, lemma(0, "der")), ("the was", 2, "surface0 = 'the' AND surface1 = 'was'"),
-        ("past VERB PREP", 2, f"{has(0, 'VERB')} AND {has(0, 'past')} AND {has(1, 'PREP')}"), ("never", 1, lemma(0, "no such lemma")),
+        ("be NOUN", 2, f"{lemma(0, 'be/VERB')} AND {has(1, 'NOUN')}"), ("der any", 2, lemma(0, "der/ADJF")), ("the was", 2, "surface0 = 'the' AND surface1 = 'was'"),
+        ("past VERB PREP", 2, f"{has(0, 'VERB')} AND {has(0, 'past')} AND {has(1, 'PREP')}"), ("never", 1, lemma(0, "?no such lemma")),
     ]
-    columns = ", ".join(f"{c} AS {c}0, lead({c}) OVER w AS {c}1" for c in ("surface", "form_lemma", "grammemes", "folded"))
+    columns = ", ".join(f"{c} AS {c}0, lead({c}) OVER w AS {c}1" for c in ("surface", "form_key", "grammemes", "folded"))
     hits = " UNION ALL ".join(f"SELECT '{name}' AS model, doc_id, i AS pos, {'surface0' if m == 1 else chr(32).join(['surface0', '||', repr(' '), '||', 'surface1'])} AS forms FROM win WHERE i + {m} < n AND {t}" for name, m, t in tests)
     return f"WITH {_tok()}, {_ANN}, {source}, win AS (SELECT doc_id, i, n, {columns} FROM fold WINDOW w AS (PARTITION BY doc_id ORDER BY i)), hits AS ({hits})"
 
@@ -251,10 +252,10 @@ def pattern_match_tfidf(spark, d):
 
 
 def _bm25_sql(terms: list[str], ann: bool) -> str:
-    source = f", {_ANN}" if ann else ", ann AS (SELECT *, surface AS lemma FROM tok)"
-    return f"""WITH {_tok()}{source}, tf AS (SELECT lemma, doc_id, count(*) AS tf, any_value(n) AS n FROM ann WHERE lemma IN ({', '.join(f"'{t}'" for t in terms)}) GROUP BY lemma, doc_id),
-        df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY lemma)
-        SELECT doc_id, score FROM (SELECT doc_id, round(sum(ln((files - df + 0.5) / (df + 0.5)) * (tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * n / (words / files))))), 6) AS score FROM tf JOIN df USING (lemma), total GROUP BY doc_id) WHERE score > 0"""
+    source = f", {_ANN}" if ann else ", ann AS (SELECT *, surface AS key FROM tok)"
+    return f"""WITH {_tok()}{source}, tf AS (SELECT key, doc_id, count(*) AS tf, any_value(n) AS n FROM ann WHERE key IN ({', '.join(f"'{t}'" for t in terms)}) GROUP BY key, doc_id),
+        df AS (SELECT key, count(*) AS df FROM tf GROUP BY key)
+        SELECT doc_id, score FROM (SELECT doc_id, round(sum(ln((files - df + 0.5) / (df + 0.5)) * (tf * 3.0 / (tf + 2.0 * (0.25 + 0.75 * n / (words / files))))), 6) AS score FROM tf JOIN df USING (key), total GROUP BY doc_id) WHERE score > 0"""
 
 
 @query(_bm25_sql(["der", "die", "und", "la", "the"], False))
@@ -262,7 +263,7 @@ def bm25_search(spark, d):
     return search.bm25(documents(spark, d), "Der die und la the")
 
 
-@query(_bm25_sql(["der", "be", "will", "est"], True))
+@query(_bm25_sql(["der/ADJF", "be/VERB", "will/NOUN", "?est"], True))
 def bm25_search_expanded(spark, d):
     return search.bm25(documents(spark, d), "die the est", toy(spark), toy_thesaurus(spark))
 
