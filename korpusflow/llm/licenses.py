@@ -42,6 +42,35 @@ TEMPLATES: dict[str, list[str]] = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
+    "AGPL": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "BSD-2": [
+        "Released under the BSD 2-Clause License.",
+        "Licensed under the Simplified BSD License.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Released under the Eclipse Public License, version 2.0.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Released under the zlib License.",
+    ],
     "BSD": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
@@ -74,8 +103,14 @@ TEMPLATES: dict[str, list[str]] = {
         "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
 }
+#: Short names by family; each stands in an SPDX line, a 'License:' line and a 'Licensed under the ...' line too.
+NAMES = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0", "Apache 2.0"], "GPL": ["GPL-2.0", "GPL-3.0", "GPLv3"], "LGPL": ["LGPL-2.1", "LGPL-3.0", "LGPLv3"], "AGPL": ["AGPL-3.0", "AGPLv3"], "BSD": ["BSD-3-Clause"],
+    "BSD-2": ["BSD-2-Clause"], "MPL-2.0": ["MPL-2.0", "MPL 2.0"], "ISC": ["ISC"], "Unlicense": ["Unlicense"], "EPL": ["EPL-1.0", "EPL-2.0"], "BSL-1.0": ["BSL-1.0"], "Zlib": ["Zlib"],
+    "CC-BY": ["CC-BY-4.0", "CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"], "CC0": ["CC0-1.0"],
+}
 UNKNOWN = "unknown"
-#: About so many documents, drawn by their hash, give paragraphs that show what no license looks like.
+#: So many documents, those of the smallest hash, give paragraphs that show what no license looks like.
 BACKGROUND = 400
 #: Held-out paragraphs of the unknown class that may be taken for a license.
 FALSE_RATE = 0.001
@@ -88,11 +123,18 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
-def features(words: list[str], known: dict[str, int]) -> list[int]:
+def with_names(templates: dict[str, list[str]], names: dict[str, list[str]]) -> dict[str, list[str]]:
+    short = lambda n: [f"SPDX-License-Identifier: {n}", f"License: {n}", f"Licensed under the {n} license."]
+    return {f: list(dict.fromkeys([*texts, *(x for n in names.get(f, []) for x in short(n))])) for f, texts in templates.items()}
+
+
+def features(words: list[str], known: dict[str, int], pairs: dict[tuple[str, str], int]) -> list[int]:
     """Places of the word 1- and 2-grams that the vocabulary has, each once."""
-    hits = {i for w in words if (i := known.get(w)) is not None}
-    if hits:
-        hits |= {i for a, b in zip(words, words[1:], strict=False) if (i := known.get(f"{a} {b}")) is not None}
+    hits = set(map(known.get, words))
+    hits.discard(None)
+    if len(hits) > 1:
+        hits.update(map(pairs.get, zip(words, words[1:], strict=False)))
+        hits.discard(None)
     return sorted(hits)
 
 
@@ -115,6 +157,7 @@ def sentences_of(templates: dict[str, list[str]]) -> dict[tuple[str, ...], str]:
 class Model:
     families: list[str]
     known: dict[str, int]
+    known_pairs: dict[tuple[str, str], int]
     weights: np.ndarray  # (features + share of unknown words + constant) x (families + unknown)
     temperature: float
     threshold: float
@@ -122,18 +165,24 @@ class Model:
     sentences: dict[tuple[str, ...], str]
     texts: dict[str, list[str]]
 
-    def logits(self, words: list[str]) -> np.ndarray:
-        at = features(words, self.known)
-        strange = 1 - sum(w in self.known for w in words) / max(1, len(words))
-        return (self.weights[at].sum(0) / max(1.0, len(at) ** 0.5) + strange * self.weights[-2] + self.weights[-1]) / self.temperature
-
     def classify(self, words: list[str]) -> tuple[str, float]:
         """The family, or unknown if no family's calibrated probability reaches the threshold."""
-        z = self.logits(words)
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        k = int(np.argmax(p[:-1]))
-        return (self.families[k], float(p[k])) if p[k] >= self.threshold else (UNKNOWN, float(p[-1]))
+        return self.classify_all([words])[0]
+
+    def classify_all(self, paragraphs: list[list[str]]) -> list[tuple[str, float]]:
+        """classify() of many paragraphs: sparse rows times the weights."""
+        at = [features(w, self.known, self.known_pairs) for w in paragraphs]
+        size = np.array([len(x) for x in at], dtype=np.int64)
+        z = np.zeros((len(at), self.weights.shape[1]))
+        if size.sum():
+            rows = np.flatnonzero(size)
+            z[rows] = np.add.reduceat(self.weights[np.concatenate([np.array(at[r], dtype=np.int64) for r in rows])], np.cumsum(size[rows]) - size[rows])
+        strange = np.array([1 - sum(map(self.known.__contains__, w)) / max(1, len(w)) for w in paragraphs])
+        z = (z / np.maximum(1.0, size**0.5)[:, None] + strange[:, None] * self.weights[-2] + self.weights[-1]) / self.temperature
+        p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+        p /= p.sum(1, keepdims=True)
+        best = p[:, :-1].argmax(1)
+        return [(self.families[k], float(row[k])) if row[k] >= self.threshold else (UNKNOWN, float(row[-1])) for k, row in zip(best.tolist(), p, strict=True)]
 
     def similarity(self, family: str, words: list[str]) -> float:
         """A paragraph too short for the share of pairs must stand in a template word for word."""
@@ -151,8 +200,8 @@ def train(templates: dict[str, list[str]], background: list[str], seed: int = 0)
     r = random.Random(seed)
     families = sorted(templates)
     texts = {f: [words_of(t) for t in templates[f]] for f in families}
-    grams = sorted({g for f in families for w in texts[f] for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]})
-    known = {g: i for i, g in enumerate(grams)}
+    known = {g: i for i, g in enumerate(sorted({x for f in families for w in texts[f] for x in w}))}
+    known_pairs = {g: len(known) + i for i, g in enumerate(sorted({x for f in families for w in texts[f] for x in zip(w, w[1:], strict=False)}))}
     pairs = {f: [frozenset(zip(w, w[1:], strict=False)) for w in texts[f]] for f in families}
     # a background paragraph that holds half of a template is no example of the unknown class
     back = [w for t in background for p in t.split("\n") if (w := words_of(p)) and max(likeness(w, own) for own in pairs.values()) < 0.5]
@@ -168,14 +217,14 @@ def train(templates: dict[str, list[str]], background: list[str], seed: int = 0)
                     if r.random() < 0.5:
                         v = [r.choice(noise) for _ in range(r.randrange(6))] + v + [r.choice(noise) for _ in range(r.randrange(6))]
                 rows.append((v, k))
-    for n in range(1500):  # license words without a license's order, and plain background
-        size = r.randrange(1, 25)
-        rows.append(([r.choice(vocabulary) if r.random() < 0.3 else r.choice(noise) for _ in range(size)], len(families)))
+    for _ in range(max(1500, len(rows) // 2)):  # license words without a license's order, and plain background
+        size, share = r.randrange(1, 25), r.choice((0.15, 0.3, 0.6))
+        rows.append(([r.choice(vocabulary) if r.random() < share else r.choice(noise) for _ in range(size)], len(families)))
         rows.append((r.choice(back) if back else [r.choice(noise) for _ in range(size)], len(families)))
     r.shuffle(rows)
-    x = np.zeros((len(rows), len(known) + 2), dtype=np.float32)
+    x = np.zeros((len(rows), len(known) + len(known_pairs) + 2), dtype=np.float32)
     for i, (w, _) in enumerate(rows):
-        at = features(w, known)
+        at = features(w, known, known_pairs)
         x[i, at] = 1 / max(1.0, len(at) ** 0.5)
         x[i, -2], x[i, -1] = 1 - sum(t in known for t in w) / max(1, len(w)), 1
     y = np.array([k for _, k in rows])
@@ -200,50 +249,84 @@ def train(templates: dict[str, list[str]], background: list[str], seed: int = 0)
     p /= p.sum(1, keepdims=True)
     wrong = np.sort(p[y[cut:] == len(families)][:, :-1].max(1))
     threshold = max(0.5, float(wrong[min(len(wrong) - 1, int(len(wrong) * (1 - FALSE_RATE)))]) + 1e-6) if len(wrong) else 0.5
-    return Model(families, known, weights.astype(np.float64), temperature, min(threshold, 0.9), pairs, sentences_of(templates), {f: [f" {' '.join(w)} " for w in texts[f]] for f in families})
+    return Model(families, known, known_pairs, weights.astype(np.float64), temperature, min(threshold, 0.9), pairs, sentences_of(templates), {f: [f" {' '.join(w)} " for w in texts[f]] for f in families})
+
 
+def paragraphs_of(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """First line, number of lines, start, length: every line, and every run of two or more lines between blank ones."""
+    start, block = 0, None  # block: first line, start
+    lines = text.split("\n")
+    for k, line in enumerate([*lines, ""]):
+        if line and not line.isspace():
+            yield k, 1, start, len(line)
+            block = block or (k, start)
+        elif block:
+            if k - block[0] > 1:
+                yield block[0], k - block[0], block[1], start - 1 - block[1]
+            block = None
+        start += len(line) + 1
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, list[str]] = TEMPLATES, background: int = BACKGROUND) -> DataFrame:
-    """One row for each paragraph that has license words enough to be looked at and isn't plain text.
 
-    id, paragraph (0-based; paragraphs are lines), start (character),
-    length, family (a family, or 'unknown' where the classifier is unsure or no template confirms it;
-    a whole sentence of one family's templates is of that family, whatever the classifier says),
-    predicted, probability, similarity, confirmed.  Every paragraph of every
-    text is classified; those with fewer than two words or without a word pair
-    of any template are unknown for certain and give no row.  Null and empty
-    texts give none.  Rows are independent; training reads about `background`
-    documents, drawn by the hash of id and text.
+def judged(model: Model, any_pair: frozenset, paragraphs: list[list[str]]) -> list[tuple[str, str, float, float, bool] | None]:
+    """family, predicted, probability, similarity, confirmed of each paragraph; None: plain text."""
+    out = []
+    for words, (predicted, p) in zip(paragraphs, model.classify_all(paragraphs), strict=True):
+        if family := model.notice(words):
+            out.append((family, predicted, p, 1.0, True))
+        elif predicted != UNKNOWN:
+            like = model.similarity(predicted, words)
+            out.append((predicted if like >= SIMILARITY else UNKNOWN, predicted, p, like, like >= SIMILARITY))
+        elif not any_pair.isdisjoint(zip(words, words[1:], strict=False)) and (like := max(likeness(words, own) for own in model.pairs.values())) >= SIMILARITY:
+            out.append((UNKNOWN, UNKNOWN, p, like, False))
+        else:
+            out.append(None)
+    return out
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, list[str]] = TEMPLATES, names: dict[str, list[str]] = NAMES, background: int = BACKGROUND) -> DataFrame:
+    """One row for each paragraph that the classifier takes for a license, or that looks like a template.
+
+    id, paragraph (its first line, 0-based), n_lines, start (character), length,
+    family (a family, or 'unknown' where the classifier is unsure or no template
+    confirms it; a whole sentence of one family's templates is of that family,
+    whatever the classifier says), predicted, probability, similarity,
+    confirmed.  Paragraphs are lines, and runs of lines between blank ones, so
+    that a notice wrapped over lines is one too; such a run gives no row where
+    one of its lines is confirmed to be of the same family.  Every paragraph of
+    every text goes through the classifier.  Null, empty and blank texts give
+    no row; rows that repeat an id or have none give theirs each.  Rows are
+    independent; training reads the `background` different (id, text) of the
+    smallest hash.
     """
     size = docs.count()
-    share = int(min(1.0, background / max(1, size)) * (1 << 30))
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.substring(text_col, 1, 256)), F.lit(1 << 30)) < share).select(F.col(text_col).alias("t"))
-    model = train(templates, sorted(r.t for r in drawn.collect() if r.t))
+    share = min(1.0, 1.2 * background / max(1, size))
+    hashed = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("t"))
+    few = hashed.where(F.col("k") < int((share - 0.5) * 2**64)) if share < 1 else hashed
+    model = train(with_names(templates, names), [r.t for r in few.dropDuplicates(["k"]).orderBy("k").limit(background).collect() if r.t])
     any_pair = frozenset(p for own in model.pairs.values() for t in own for p in t)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, paragraph int, start int, length int, family string, predicted string, probability double, similarity double, confirmed boolean"
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-    names = [id_col, "paragraph", "start", "length", "family", "predicted", "probability", "similarity", "confirmed"]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, paragraph int, n_lines int, start int, length int, family string, predicted string, probability double, similarity double, confirmed boolean"
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    columns = [id_col, "paragraph", "n_lines", "start", "length", "family", "predicted", "probability", "similarity", "confirmed"]
+
+    def scanned(doc: object, text: str) -> Iterator[tuple]:
+        places = list(paragraphs_of(text))
+        lines: dict[int, tuple] = {}
+        for at in range(0, len(places), 4096):
+            part = places[at : at + 4096]
+            for place, got in zip(part, judged(model, any_pair, [words_of(text[s : s + n]) for _, _, s, n in part]), strict=True):
+                if got:
+                    k, n, *_ = place
+                    if n == 1:
+                        lines[k] = got
+                    elif any((x := lines.get(j)) and x[4] and x[0] == got[0] for j in range(k, k + n)):
+                        continue
+                    yield doc, *place, *got
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole):
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch, "__text"), strict=True):
-                    start = 0
-                    for k, line in enumerate(text.split("\n")):
-                        words = words_of(line)
-                        if not any_pair.isdisjoint(zip(words, words[1:], strict=False)):
-                            predicted, p = model.classify(words)
-                            if family := model.notice(words):
-                                rows.append((doc, k, start, len(line), family, predicted, p, 1.0, True))
-                            elif predicted != UNKNOWN:
-                                like = model.similarity(predicted, words)
-                                rows.append((doc, k, start, len(line), predicted if like >= SIMILARITY else UNKNOWN, predicted, p, like, like >= SIMILARITY))
-                            elif (like := max(likeness(words, own) for own in model.pairs.values())) >= SIMILARITY:
-                                rows.append((doc, k, start, len(line), UNKNOWN, UNKNOWN, p, like, False))
-                        start += len(line) + 1
+                rows = [x for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch, "__text"), strict=True) for x in scanned(doc, text)]
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [whole.schema.field(0).type, *kinds], strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [whole.schema.field(0).type, *kinds], strict=True)], columns)
 
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
