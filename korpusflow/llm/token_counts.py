@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +79,6 @@ class CountTransducer:
 
     def segment(self, key: str) -> int:
         """Tokens of one segment (see bpe.segments)."""
-        if len(self.states) > MOST_STATES:
-            self.restart()
         if key.isalpha():
             n = self.word(b" " + key.encode())
         elif key[-1:] in ENDS and key[:-1].isalpha():
@@ -113,74 +111,171 @@ class CountTransducer:
         return total
 
 
-@dataclass(frozen=True)
-class StateMap:
-    """What a chunk does to the machine, for any state in which it may begin.
+#: Between words: nothing open; a run of letters, digits or other signs; white space, its last character apart (what
+#: follows decides whose it is); an apostrophe that may begin a contraction; that and its first letter.
+CLOSED, LETTERS, DIGITS, SIGNS, SPACE, APOSTROPHE, CONTRACTION = range(7)
+#: Contractions that the pattern cuts off: of one letter, and the second letter of those of two.
+ONE_LETTER, SECOND = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
+_KINDS = ((LETTERS, regex.compile(r"\p{L}")), (DIGITS, regex.compile(r"\p{N}")), (SPACE, regex.compile(r"\s")))
+State = tuple[int, int, str]
+START: State = (CLOSED, 0, "")
+
+
+class Machine:
+    """The whole tokenizer as a deterministic transducer over characters: PATTERN's cuts around the words' transducer.
 
-    A state between chunks is the text since the last place where a token must
-    end.  A chunk with no such place appends itself (`head`).  Else it counts
-    the carried text with its head, then `count` whatever came before, and
-    hands on its `tail`.
+    A state is what is open, the state of its word, and a character that waits.
+    Each step emits by how much the count of tokens changes.
     """
 
-    head: str
-    synced: bool = False
-    count: int = 0
-    tail: str = ""
+    def __init__(self, t: CountTransducer):
+        self.t, self.kinds = t, {}
+
+    def kind(self, c: str) -> int:
+        if (k := self.kinds.get(c)) is None:
+            k = self.kinds[c] = next((k for k, p in _KINDS if p.match(c)), SIGNS)
+        return k
+
+    def feed(self, word: int, text: str) -> tuple[int, int]:
+        total = 0
+        for b in text.encode():
+            word, change = self.t.transitions.get(word << 8 | b) or self.t.compile(word, b)
+            total += change
+        return word, total
+
+    def open(self, c: str, kind: int) -> tuple[State, int]:
+        if kind == SPACE:
+            return (SPACE, 0, c), 0
+        word, n = self.feed(0, c)
+        return (APOSTROPHE if c == "'" else kind, word, ""), n
+
+    def step(self, state: State, c: str) -> tuple[State, int]:
+        mode, word, waits = state
+        kind = self.kind(c)
+        if mode == SPACE:
+            if kind == SPACE:
+                word, n = self.feed(word, waits)
+                return (SPACE, word, c), n
+            if waits == " ":  # it belongs to what follows
+                word, n = self.feed(0, " " + c)
+                return (kind, word, ""), n
+            alone = self.feed(0, waits)[1]
+            state, n = self.open(c, kind)
+            return state, alone + n
+        if mode == APOSTROPHE:
+            if c in ONE_LETTER:
+                return START, self.feed(word, c)[1]
+            if c in SECOND:
+                return (CONTRACTION, word, c), 0
+            mode = SIGNS
+        elif mode == CONTRACTION:
+            if SECOND[waits] == c:
+                return START, self.feed(word, waits + c)[1]
+            word, n = self.feed(0, waits)
+            state, more = self.step((LETTERS, word, ""), c)
+            return state, n + more
+        if mode == kind:
+            word, n = self.feed(word, c)
+            return (mode, word, ""), n
+        return self.open(c, kind)
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for c in text:
+            state, n = self.step(state, c)
+            total += n
+        return state, total
+
+    def end(self, state: State) -> int:
+        """What the end of the text still emits."""
+        mode, word, waits = state
+        return self.feed(word if mode == SPACE else 0, waits)[1] if waits else 0
+
 
-    @classmethod
-    def of(cls, chunk: str, t: CountTransducer) -> StateMap:
+class StateMap:
+    """What a chunk does to the machine: a table from the state before it to the state behind it and the tokens emitted.
+
+    The states are finitely many; the table holds those that were asked for and
+    grows when another is.  Behind the chunk's first seam (a space or line end
+    after something else) the state doesn't depend on the one before the chunk:
+    from there on the chunk is counted once for all of them.
+    """
+
+    def __init__(self, chunk: str, m: Machine):
+        self.m, self.table = m, {}
         first = _next_seam(chunk, 1)
-        if first < 0:
-            return cls(chunk)
-        last = _last_seam(chunk)
-        return cls(chunk[:first], True, t.text(chunk[first:last]), chunk[last:])
+        self.head, self.rest = chunk, None
+        if first >= 0:
+            last = _last_seam(chunk)
+            state, n = m.run((SPACE, 0, chunk[last]), chunk[last + 1 :])
+            self.head, self.rest = chunk[: first + 1], (state, m.t.text(chunk[first:last]) + n)
+
+    def at(self, state: State) -> tuple[State, int]:
+        if (got := self.table.get(state)) is None:
+            after, n = self.m.run(state, self.head)
+            got = self.table[state] = (after, n) if self.rest is None else (self.rest[0], n + self.rest[1])
+        return got
+
+    def then(self, other: StateMap | Composed) -> Composed:
+        return Composed(self, other)
+
+
+class Composed:
+    """One chunk's map after another's: a table again.  Composition is associative."""
 
-    def then(self, other: StateMap, t: CountTransducer) -> StateMap:
-        """Composition; associative."""
-        if not self.synced:
-            return StateMap(self.head + other.head, other.synced, other.count, other.tail)
-        if not other.synced:
-            return StateMap(self.head, True, self.count, self.tail + other.head)
-        return StateMap(self.head, True, self.count + t.text(self.tail + other.head) + other.count, other.tail)
+    def __init__(self, a: StateMap | Composed, b: StateMap | Composed):
+        self.a, self.b = a, b
+        self.table = {state: self._both(got) for state, got in a.table.items()}
 
-    def total(self, t: CountTransducer) -> int:
-        """Tokens of the text whose map this is, begun with nothing carried."""
-        return t.text(self.head) + self.count + t.text(self.tail)
+    def _both(self, got: tuple[State, int]) -> tuple[State, int]:
+        after, n = self.b.at(got[0])
+        return after, got[1] + n
 
+    def at(self, state: State) -> tuple[State, int]:
+        if (got := self.table.get(state)) is None:
+            got = self.table[state] = self._both(self.a.at(state))
+        return got
 
-def _seam(chunk: str, at: int) -> bool:
-    return chunk[at] in " \n" and not chunk[at - 1].isspace()
+    then = StateMap.then
 
 
 def _next_seam(chunk: str, at: int) -> int:
-    return next((i for i in range(at, len(chunk)) if _seam(chunk, i)), -1)
+    return next((i for i in range(at, len(chunk)) if chunk[i] in " \n" and not chunk[i - 1].isspace()), -1)
 
 
 def _last_seam(chunk: str) -> int:
-    return next(i for i in range(len(chunk) - 1, 0, -1) if _seam(chunk, i))
+    return next(i for i in range(len(chunk) - 1, 0, -1) if chunk[i] in " \n" and not chunk[i - 1].isspace())
 
 
-def prefix_scan(maps: list[StateMap], t: CountTransducer) -> list[StateMap]:
+def prefix_scan(maps: list) -> list:
     """All inclusive prefixes, in log2(n) rounds of compositions that don't depend on each other."""
     out, step = list(maps), 1
     while step < len(out):
-        out = out[:step] + [out[i - step].then(out[i], t) for i in range(step, len(out))]
+        out = out[:step] + [out[i - step].then(out[i]) for i in range(step, len(out))]
         step *= 2
     return out
 
 
-def reduced(maps: list[StateMap], t: CountTransducer) -> StateMap:
-    """The last prefix alone: the scan's up-sweep."""
-    while len(maps) > 1:
-        maps = [maps[i].then(maps[i + 1], t) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+#: Characters before a chunk from which its likeliest state is guessed.
+GUESS = 64
 
 
 def count_tokens(text: str, t: CountTransducer, chunk: int = CHUNK) -> int:
     if len(text) <= chunk:
         return t.text(text)
-    return reduced([StateMap.of(text[i : i + chunk], t) for i in range(0, len(text), chunk)], t).total(t)
+    m, total = Machine(t), 0
+    for k, part in enumerate(t.vocabulary.special.split(text) if any(x in text for x in t.vocabulary.added) else (text,)):
+        if k % 2:
+            total += 1
+        elif part:
+            chunks = [part[i : i + chunk] for i in range(0, len(part), chunk)]
+            maps = [StateMap(c, m) for c in chunks]
+            maps[0].at(START)
+            for before, own in zip(chunks, maps[1:], strict=False):  # each by itself: the table's first row is a guess
+                own.at(m.run(START, before[-GUESS:])[0])
+            state, n = prefix_scan(maps)[-1].at(START)
+            total += n + m.end(state)
+    return total
 
 
 _transducers: dict[str, CountTransducer] = {}
@@ -205,8 +300,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         t = transducer(path)
         for whole in batches:
             for batch in batches_of(whole):
-                texts = texts_of(batch, "__text")
-                n = [count_tokens(x, t, chunk) for x in texts]
+                n = []
+                for text in texts_of(batch, "__text"):
+                    if len(t.states) > MOST_STATES:
+                        t.restart()
+                    n.append(count_tokens(text, t, chunk))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -93,12 +93,40 @@ def test_token_counts(docs, chunk):
 
 def test_state_maps_compose_in_any_order():
     t = token_counts.transducer(PATH)
-    text = "One  two\n\nthree don't <|endoftext|> x " * 9
-    maps = [token_counts.StateMap.of(text[i : i + 5], t) for i in range(0, len(text), 5)]
-    scanned = token_counts.prefix_scan(maps, t)
-    for k in range(len(maps)):
-        assert scanned[k].total(t) == len(expected_ids(text[: 5 * k + 5]))
-    assert token_counts.reduced(maps, t).total(t) == scanned[-1].total(t)
+    text = "It's we'll they've 're 'l  two   spaces\n\n\tand !!'' 12.5 naïve — über\xa0x 'd" * 3
+    m = token_counts.Machine(t)
+    maps = [token_counts.StateMap(text[i : i + 5], m) for i in range(0, len(text), 5)]
+    for k, scanned in enumerate(token_counts.prefix_scan(maps)):
+        state, n = scanned.at(token_counts.START)
+        assert n + m.end(state) == len(expected_ids(text[: 5 * k + 5]))
+    whole = maps[0]
+    for x in maps[1:]:
+        whole = whole.then(x)
+    assert whole.at(token_counts.START) == token_counts.prefix_scan(maps)[-1].at(token_counts.START)
+
+
+def test_states_of_random_texts():
+    """The machine over whole texts, cut anywhere, against the library."""
+    r = random.Random(6)
+    t = token_counts.transducer(PATH)
+    parts = ["'", "'s", "'re", "'ve", "'ll", "'l", " ", "  ", "\n", "\t", "\xa0", "a", "the", "Ab", "9", "12", "!", "...", "é", "日本", "ǅ", "²", "\u200b", "x'", "<|endoftext|>", "r", "v", "l", "e"]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 25)))
+        assert token_counts.count_tokens(text, t, r.randrange(1, 9)) == len(expected_ids(text)), text
+
+
+def test_text_without_seams_goes_by_states():
+    r = random.Random(7)
+    t = token_counts.transducer(PATH)
+    text = "".join(r.choice("abcdefghij") for _ in range(200_000))
+    m = token_counts.Machine(t)
+    maps = [token_counts.StateMap(text[i : i + 10_000], m) for i in range(0, len(text), 10_000)]
+    for before, own in zip(range(10_000, len(text), 10_000), maps[1:]):
+        own.at(m.run(token_counts.START, text[before - token_counts.GUESS : before])[0])
+    guessed = [set(x.table) for x in maps[1:]]
+    state, n = token_counts.prefix_scan(maps)[-1].at(token_counts.START)
+    assert n + m.end(state) == len(bpe.encoder(PATH).encode(text)) // 4
+    assert sum(set(x.table) == g for x, g in zip(maps[1:], guessed)) >= 18  # the guesses were right: nothing was run again
 
 
 def plain_fingerprint(text, n=3):
