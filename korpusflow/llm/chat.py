@@ -20,6 +20,8 @@ FINAL = ASSISTANT
 #: Costs: joining a turn to the one before of the same role, taking a turn for another role, an empty turn put in.
 MERGE, RELABEL, INSERT = 2, 5, 3
 FAR = 1 << 40
+#: Bytes of text of one partition.
+PART = 32 << 20
 
 
 def _paths() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -103,8 +105,18 @@ def role_number(role: str | None) -> int:
     return ROLES.index(name) + 1 if name in ROLES else 0
 
 
+#: What opens and closes a turn; in a text a backslash keeps these from doing so.
+OPENS, CLOSES = "<|im_start|>", "<|im_end|>"
+
+
+def harmless(text: str) -> str:
+    """A text that can't forge a turn: a backslash breaks its markers."""
+    return text.replace(OPENS, "<\\|im_start|>").replace(CLOSES, "<\\|im_end|>") if "<|im_" in text else text
+
+
 def rendered(role: int, merged: int, before: tuple[int, ...], text: str, ending: tuple[int, ...] | None, opened: bool) -> str:
     """The turn's share of the rendered dialogue; shares joined in order are the whole."""
+    text = harmless(text)
     out = ["\n" if merged else "<|im_end|>\n" if opened else ""]
     out += [f"<|im_start|>{ROLES[r - 1]}\n<|im_end|>\n" for r in before]
     out += [text] if merged else [f"<|im_start|>{ROLES[role - 1]}\n{text}"]
@@ -119,13 +131,15 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     A dialogue must be [system] (user assistant)+.  Turns are kept ('keep'),
     joined to the turn before ('merge'), taken for another role ('relabel', or
     'merge+relabel'), and empty turns are put in, at least total cost.
-    Segments joined by position are the dialogue in ChatML.  Turns are ordered
-    by turn number, then role and text (nulls first), so ties have an order;
-    rows that repeat stay.  Null turns come first, a null conversation is one of
+    Segments joined by position are the dialogue in ChatML; markers inside a
+    text are broken by a backslash, so that no text forges a turn.  Turns are
+    ordered by turn number, then role, hash of role and text, and text (nulls
+    first), so ties have an order; rows that repeat stay.  Null turns come first, a null conversation is one of
     its own, an unknown or null role is relabelled, a null text is empty.
 
-    Rows are ranged over partitions by conversation and turn, so one long
-    conversation takes many partitions.  Each gives the cost matrices (4 x 4)
+    Rows are ranged over partitions of about PART bytes by conversation and
+    turn, so one long conversation takes many partitions; the pass that weighs
+    the ranges reads no texts.  Each gives the cost matrices (4 x 4)
     of the conversations it shares with its neighbours, two at most; these go
     to the driver, which fixes the states at the cuts; then every partition
     repairs its own rows.
@@ -133,10 +147,11 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     base = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role_in"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("tie", F.xxhash64("role_in", "text"))
     order = ["conv", "turn", "role_in", "tie", "text"]
-    n = max(1, base.sparkSession.sparkContext.defaultParallelism, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, base.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
     ranged = base.repartitionByRange(n, "conv", "turn", "role_in", "tie").sortWithinPartitions(*order)
     kept = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "turns")
-    again = kept.repartition(n, "part").sortWithinPartitions("part", "row")
+    again = lambda df: df.repartitionByRange(n, "part").sortWithinPartitions("part", "row")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, list[dict]]]:
         now, rows = None, []
@@ -168,7 +183,7 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     conv_kind = turns.schema[conv_col].dataType
     conv_type = to_arrow_type(conv_kind)
-    found = sorted(again.mapInArrow(edges, f"part int, conv {conv_kind.simpleString()}, row long, n long, matrix array<long>").collect(), key=lambda r: r.row)
+    found = sorted(again(kept.select("part", "conv", "role_in", "row")).mapInArrow(edges, f"part int, conv {conv_kind.simpleString()}, row long, n long, matrix array<long>").collect(), key=lambda r: r.row)
     # (part, conv) -> state before, state after (None: the dialogue ends here), position of its first turn
     cuts: dict[tuple[int, object], tuple[int, int | None, int]] = {}
     at = 0
@@ -219,4 +234,4 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turn_kind = turns.schema[turn_col].dataType
     turn_type = to_arrow_type(turn_kind)
     schema = f"conv {conv_kind.simpleString()}, turn {turn_kind.simpleString()}, position long, role_in string, role string, action string, inserted_before int, inserted_after int, segment string"
-    return again.mapInArrow(run, schema).withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
+    return again(kept).mapInArrow(run, schema).withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
