@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import batches_of, release, stored, texts_of
+from korpusflow.llm.common import batches_of, discard, release, stored, texts_of
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 3
 #: Two fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes.
@@ -160,7 +160,8 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = stored(small.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+        last, edges = edges, stored(small.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+        discard(last)
         release(edges.sparkSession)
 
 
