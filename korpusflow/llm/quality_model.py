@@ -142,8 +142,9 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     words, so that it judges any language.  Null and empty texts get no votes
     and no features: they are judged by the constant alone.  Each row is judged
     by itself, whatever its id; rows that repeat are judged alike; an empty
-    table gives no row.  Each text is read once: its votes and features are
-    written with the columns to return.
+    table gives no row.  Where the texts aren't returned, each is read once: its
+    votes and features are written with the columns to return; where they are,
+    reading them twice takes less than writing them.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     seen, drawn = fresh("__seen", docs), fresh("__drawn", docs)
@@ -154,7 +155,9 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             got = [profile(t or "") for t in batch]
             yield pd.DataFrame({"code": pd.Series([weak.code(p.votes) for p in got], dtype="int64"), "places": [np.array(p.places, np.int32) for p in got], "values": [np.array(p.values, np.float32) for p in got]})
 
-    table = stored(docs.select(*names, F.xxhash64(id_col, text_col).alias(drawn), features(F.col(text_col)).alias(seen)), "quality-features")
+    table = docs.select(*names, F.xxhash64(id_col, text_col).alias(drawn), features(F.col(text_col)).alias(seen))
+    if text_col not in names:
+        table = stored(table, "quality-features")
     found = table.groupBy(F.col(f"{seen}.code")).count().collect()  # at most 3 ** N_LABELLERS rows
     codes, n = np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=np.int64)
     labels = weak.fit(codes, n, N_LABELLERS, KINDS)

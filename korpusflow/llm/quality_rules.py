@@ -131,10 +131,11 @@ def quality_rules(docs: DataFrame, text_col: str = "text", *, threshold: float =
     kept: not base_failed and quality >= threshold.  A null or empty text has
     no words, so base_failed holds.  Each row is judged by itself, whatever its
     id; rows that repeat are judged alike; an empty table gives no row.  The
-    accuracies come from all rows.  Each text is read once: what the rules see
-    is written with the columns to return; then nothing is shuffled but the
-    counts of vote patterns (3 ** N_RULES at most), which alone reach the
-    driver.
+    accuracies come from all rows.  Where the texts aren't returned, each is
+    read once: what the rules see is written with the columns to return; where
+    they are, reading them twice takes less than writing them.  Nothing is
+    shuffled but the counts of vote patterns (3 ** N_RULES at most), which
+    alone reach the driver.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
     seen = fresh("__seen", docs)
@@ -148,7 +149,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", *, threshold: float =
                 rows.append((c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, failed(c), votes(c)))
             yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"])
 
-    table = stored(docs.select(*names, judged(F.col(text_col)).alias(seen)), "quality-rules")
+    table = docs.select(*names, judged(F.col(text_col)).alias(seen))
+    if text_col not in names:
+        table = stored(table, "quality-rules")
     code = F.col(f"{seen}.votes")
     found = table.groupBy(weak.code_column(code, N_RULES).alias("code")).count().collect()
     model = weak.fit(np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=np.int64), N_RULES, KINDS)
