@@ -17,6 +17,7 @@ from korpusflow.llm.quality_model import quality_classifier
 from korpusflow.llm.quality_rules import quality_rules
 from korpusflow.llm.simhash import simhash_groups
 from korpusflow.llm.token_counts import token_counts
+from korpusflow.sources.corpus import spread
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,31 +31,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(documents(spark, sf_dir))
+    return score_texts(spread(documents(spark, sf_dir)))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), ids=False)
+    return bpe_encode(spread(documents(spark, sf_dir)), public_tokenizers.path(TOKENIZER), ids=False)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(documents(spark, sf_dir))
+    return simhash_groups(spread(documents(spark, sf_dir)))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(documents(spark, sf_dir))
+    return license_scan(spread(documents(spark, sf_dir)))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return token_counts(spread(documents(spark, sf_dir)), public_tokenizers.path(TOKENIZER))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "weak_label", "score", "kept")
+    return quality_classifier(spread(documents(spark, sf_dir)), keep=["doc_id"]).select("doc_id", "weak_label", "score", "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality_rules(spread(documents(spark, sf_dir)), keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), ids=False)
+    return pack(spread(documents(spark, sf_dir)), public_tokenizers.path(TOKENIZER), ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
