@@ -197,16 +197,41 @@ def stable_ngrams_containing(spark, d):
     return ngrams.lookup(ngrams.stable_ngrams(documents(spark, d), 3, 5, 0.7), ["der"])
 
 
-@query(f"""WITH RECURSIVE {_tok()}, lv AS (
-        SELECT doc_id, p, 2 AS n, w[p] || ' ' || w[p + 1] AS gram, count(*) OVER (PARTITION BY w[p] || ' ' || w[p + 1]) AS occ FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM docs WHERE len(w) > 1)
-        UNION ALL SELECT doc_id, p, n, gram, count(*) OVER (PARTITION BY gram) AS occ FROM (SELECT l.doc_id, l.p, l.n + 1 AS n, l.gram || ' ' || d.w[l.p + l.n] AS gram FROM lv l JOIN docs d USING (doc_id) WHERE l.occ >= 4 AND l.p + l.n <= len(d.w))),
-    c AS (SELECT gram, n, any_value(occ) AS occ, count(DISTINCT doc_id) AS df FROM lv WHERE occ >= 2 GROUP BY gram, n),
-    e AS (SELECT gram, max(occ) AS ext FROM (SELECT substring(gram, 1, length(gram) - strpos(reverse(gram), ' ')) AS gram, occ FROM c WHERE n > 2
-          UNION ALL SELECT substring(gram, strpos(gram, ' ') + 1), occ FROM c WHERE n > 2) GROUP BY gram)
-    SELECT gram, n, occ, df, round(occ / words * ln(files / df), 6) AS tfidf FROM c LEFT JOIN e USING (gram), total WHERE occ >= 5 AND (ext IS NULL OR CAST(ext AS FLOAT) <= CAST(occ AS FLOAT) * CAST(0.7 AS FLOAT))""")
+def _stable_all_sql(f: int, s: float, tok: str, surface: str = "surface", where: str = "true") -> str:
+    """Grams of any length, one token longer each time, known by a hash; texts are read from one place in the end."""
+    return f"""{tok}, t AS (SELECT doc_id, i, {surface} AS word, hash({surface}) AS s FROM ann),
+        lv AS (SELECT doc_id, p, 2 AS n, h, count(*) OVER (PARTITION BY h) AS occ FROM (SELECT a.doc_id, a.i AS p, hash(a.s, b.s) AS h FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i = a.i + 1)
+            UNION ALL SELECT doc_id, p, n, h, count(*) OVER (PARTITION BY h) AS occ FROM (SELECT l.doc_id, l.p, l.n + 1 AS n, hash(l.h, t.s) AS h FROM lv l JOIN t ON t.doc_id = l.doc_id AND t.i = l.p + l.n WHERE l.occ >= {int(f * s) + 1})),
+        many AS MATERIALIZED (SELECT * FROM lv WHERE occ > {int(f * s)}),
+        c AS (SELECT h, n, any_value(occ) AS occ, count(DISTINCT doc_id) AS df, min({{d: doc_id, p: p}}) AS spot FROM many WHERE occ >= {f} GROUP BY h, n),
+        e AS (SELECT h, n, max(ext) AS ext FROM (SELECT a.h, a.n, b.occ AS ext FROM many a JOIN many b ON a.doc_id = b.doc_id AND a.p = b.p AND b.n = a.n + 1
+              UNION ALL SELECT a.h, a.n, b.occ FROM many a JOIN many b ON a.doc_id = b.doc_id AND a.p = b.p + 1 AND b.n = a.n + 1) GROUP BY h, n),
+        stable AS (SELECT c.*, row_number() OVER () AS id FROM c LEFT JOIN e USING (h, n) WHERE ext IS NULL OR CAST(ext AS FLOAT) <= CAST(occ AS FLOAT) * CAST({s} AS FLOAT)),
+        named AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS gram FROM stable JOIN t ON t.doc_id = spot.d AND t.i >= spot.p AND t.i < spot.p + n GROUP BY id),
+        grams AS (SELECT gram, h, n, occ, df FROM stable JOIN named USING (id) WHERE {where})"""
+
+
+_TFIDF = "SELECT gram, CAST(n AS BIGINT) AS n, occ, df, round(occ / words * ln(files / df), 6) AS tfidf FROM grams, total"
+_PLAIN = ", ann AS (SELECT * FROM tok)"
+
+
+@query(f"WITH RECURSIVE {_stable_all_sql(5, 0.7, _tok() + _PLAIN)} {_TFIDF}")
 def stable_ngrams_all(spark, d):
     """Of any length."""
-    return ngrams.stable_ngrams(documents(spark, d), None, 5, 0.7, ordered=True)
+    return ngrams.stable_ngrams(documents(spark, d), None, 5, 0.7)
+
+
+@query(f"WITH RECURSIVE {_stable_all_sql(5, 0.7, _tok() + _PLAIN)} SELECT gram, doc_id, CAST(p AS BIGINT) AS pos FROM grams JOIN many USING (h, n)")
+def stable_ngram_places(spark, d):
+    """Every place of every stable n-gram of any length."""
+    docs = documents(spark, d)
+    return ngrams.occurrences(ngrams.stable_ngrams(docs, None, 5, 0.7), docs)
+
+
+@query(f"WITH RECURSIVE {_stable_all_sql(5, 0.7, _tok() + _PLAIN)} SELECT DISTINCT a.gram, b.gram AS inside FROM grams a JOIN grams b ON b.n < a.n AND contains(' ' || a.gram || ' ', ' ' || b.gram || ' ')")
+def stable_ngrams_nested(spark, d):
+    """The stable n-grams inside each."""
+    return ngrams.nested(ngrams.stable_ngrams(documents(spark, d), None, 5, 0.7))
 
 
 _PHRASE = "released under the mit license".split()
@@ -390,6 +415,12 @@ def bm25_homonyms(spark, d):
     return search.bm25(documents(spark, d), "und the to", homonyms(spark), spark.createDataFrame(THESAURUS_2, "head string, synonym string, ord long"))
 
 
+@query(f"WITH RECURSIVE {_stable_all_sql(5, 0.7, _tok() + ', ' + _ANN_2, 'lemma')} {_TFIDF}")
+def stable_ngrams_homonyms(spark, d):
+    """A gram is its lemmas: 'la' of two lexemes is one."""
+    return ngrams.stable_ngrams(documents(spark, d), None, 5, 0.7, homonyms(spark))
+
+
 _CONV = _tok("conversations", "CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)")
 
 

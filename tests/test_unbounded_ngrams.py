@@ -6,6 +6,8 @@ from collections import defaultdict
 import pytest
 
 from korpusflow.operators import ngrams
+from korpusflow.operators.morphology import Dictionary
+from korpusflow.sources.scratch import stored
 
 
 def brute_force(docs, f, s):
@@ -22,20 +24,52 @@ def brute_force(docs, f, s):
     return {" ".join(g): (len(g), c, len(where[g])) for g, c in occ.items() if c >= f and lost[g] <= c * s}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "f", "s"), [(1, 2, 0.75), (2, 5, 0.5), (3, 3, 0.2), (4, 3, 1.0), (5, 1, 0.9)])
+def test_equals_brute_force(spark, seed, f, s):
     r = random.Random(seed)
     base = [r.choice("abcdefgh") for _ in range(40)]
     docs = []
-    for i in range(40):
+    for i in range(40 if s < 1 else 8):
         a, b = sorted(r.sample(range(41), 2))
         docs.append((i, [r.choice("abc") for _ in range(r.randrange(6))] + base[a:b] + ["x"] * r.randrange(9) + [r.choice("abc") for _ in range(r.randrange(6))]))
-    docs += [(40 + i, list(base)) for i in range(6)] + [(50 + i, ["w"] * 30) for i in range(3)] + [(60, []), (61, ["a"]), (62, ["a", "b"])]
+    if s < 1:
+        docs += [(40 + i, list(base)) for i in range(6)] + [(50 + i, ["w"] * 30) for i in range(3)]
+    docs += [(60, []), (61, ["a"]), (62, ["a", "b"])]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
-    for f, s in ((2, 0.75), (5, 0.5), (3, 0.2)):
-        got = ngrams.stable_ngrams(df, None, f, s).collect()
-        assert len(got) == len({x.gram for x in got})
-        assert {x.gram: (x.n, x.occ, x.df) for x in got} == brute_force(docs, f, s)
+    found = ngrams.stable_ngrams(df, None, f, s)
+    got = found.collect()
+    want = brute_force(docs, f, s)
+    assert len(got) == len({x.gram for x in got})
+    assert {x.gram: (x.n, x.occ, x.df) for x in got} == want
+    if seed == 1:
+        kept = stored(found, "found")
+        places = [tuple(x) for x in ngrams.occurrences(kept, df).collect()]
+        assert len(places) == len({*places}) and {*places} == {(g, i, p) for g, (n, _, _) in want.items() for i, w in docs for p in range(len(w) - n + 1) if " ".join(w[p : p + n]) == g}
+        pairs = [tuple(x) for x in ngrams.nested(kept).collect()]
+        assert len(pairs) == len({*pairs}) and {*pairs} == {(g, h) for g in want for h in want if g != h and f" {h} " in f" {g} "}
+
+
+def test_long_copies_cost_rows_in_proportion(spark, monkeypatch):
+    """A gram of 3,000 tokens gives itself and what is stable inside; rows of every step stay below a few times the tokens."""
+    r = random.Random(7)
+    text = [f"w{r.randrange(500)}" for _ in range(3000)]
+    docs = [(k, text[: 1000 * k] + ["x"] + text) for k in (0, 1, 2)]
+    rows = []
+    monkeypatch.setattr(ngrams, "stored", lambda df, name: rows.append((out := stored(df, name)).count()) or out)
+    found = stored(ngrams.stable_ngrams(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), None, 3, 0.9), "found")
+    long = {x.gram: (x.n, x.occ, x.df) for x in found.collect() if x.n >= 900}
+    assert long == {"x " + " ".join(text): (3001, 3, 3), " ".join(text[:1000]): (1000, 5, 3), " ".join(text[:2000]): (2000, 4, 3)}
+    assert max(rows) <= 12 * sum(len(w) for _, w in docs)
+
+
+def test_lexemes_of_one_lemma_are_one_gram(spark):
+    lexemes = [(20, "la", "NOUN", []), (21, "la", "NOUN", [])]
+    forms = [(20, 0, "en", []), (21, 0, "el", [])]
+    dictionary = Dictionary.of(spark, lexemes, forms, [], [])
+    df = spark.createDataFrame([(1, "en x"), (2, "el x"), (3, "q en x el x")], "doc_id long, text string")
+    found = stored(ngrams.stable_ngrams(df, None, 2, 0.7, dictionary), "found")
+    assert [(x.gram, x.occ, x.df) for x in found.collect()] == [("la x", 4, 3)]
+    assert ngrams.occurrences(found, df, dictionary).count() == 4
 
 
 def test_order_and_empty(spark):
