@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import batches_of, texts_of
+from korpusflow.llm.common import batches_of, stored, texts_of
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -150,7 +150,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     text alone, so a text that a third of all rows share is dealt like any
     other.  What a worker passes on is one array of 600 cells for each part.
     """
-    rows = _judged(docs, id_col, text_col, part_col)
+    rows = stored(_judged(docs, id_col, text_col, part_col), "filter-audit")
     marked = labels.select(F.col(id_col).alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")).where("id is not null and (good or toxic)")
     marked = marked.groupBy("id").agg((F.coalesce(F.max(F.col("good").cast("int")), F.lit(0)) + 2 * F.coalesce(F.max(F.col("toxic").cast("int")), F.lit(0))).alias("label"))
     first = rows.where("id is not null").groupBy("text_key").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
