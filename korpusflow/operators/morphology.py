@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import deyotized
-from korpusflow.sources.corpus import cut, load, save, token_table
+from korpusflow.sources import snapshots
+from korpusflow.sources.corpus import cut, token_table
 from korpusflow.sources.resources import FUNCTION_POS, LIST_POS, MERGING_LINKS, strange_tags
 
 UNKNOWN = "UNKN"
@@ -106,13 +107,19 @@ class Dictionary:
             raise ValueError("unknown tags: " + ", ".join(f"{r.kind} {r.tag} ({r.n})" for r in bad))
 
     def save(self, path: str) -> None:
-        """A snapshot of the four tables; unknown words aren't part of it."""
-        for name in TABLES:
-            save(getattr(self, name), f"{path}/{name}")
+        """A new version of the snapshot: the four tables and what they resolve to; unknown words aren't part of it."""
+        tables = {name: getattr(self, name) for name in TABLES} | {"resolved": self.resolved(), "resolution": self.resolution()}
+        snapshots.publish(self.lexemes.sparkSession, path, tables)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Dictionary:
-        return cls(*(load(spark, f"{path}/{name}") for name in TABLES))
+        """The newest whole version; nothing is resolved again."""
+        at = snapshots.version_at(spark, path)
+        if at is None:
+            raise FileNotFoundError(f"no snapshot at {path}; build it first")
+        out = cls(*(spark.read.parquet(f"{at}/{name}") for name in TABLES))
+        out._resolved, out._resolution = spark.read.parquet(f"{at}/resolved"), spark.read.parquet(f"{at}/resolution")
+        return out
 
 
 def unknown_id(surface) -> Column:

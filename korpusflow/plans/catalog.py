@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.functions import text as T
-from korpusflow.operators import concordance, frequency, morphology, ngrams, patterns, report, search
+from korpusflow.operators import concordance, frequency, index, morphology, ngrams, patterns, report, search
 from korpusflow.sources import corpus as C
+from korpusflow.sources.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -293,6 +295,28 @@ def bm25_search_expanded(spark, d):
     return search.bm25(documents(spark, d), "die the est", toy(spark), toy_thesaurus(spark))
 
 
+def _index(spark: SparkSession, d: str, dictionary: morphology.Dictionary | None = None) -> index.Index:
+    return index.build_index(documents(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", dictionary)
+
+
+@query(_bm25_sql(["der/ADJF", "be/VERB", "will/NOUN", "?est"], True))
+def index_bm25(spark, d):
+    """From a stored index, read by the query's lexemes."""
+    return index.bm25(_index(spark, d, toy(spark)), "die the est", toy_thesaurus(spark))
+
+
+@query(_bm25_sql(["der", "die", "und", "la", "the"], False) + " ORDER BY score DESC, doc_id LIMIT 25")
+def index_bm25_best(spark, d):
+    """The 25 best by block maxima."""
+    return index.best(_index(spark, d), "Der die und la the", 25)[0]
+
+
+@query(f"WITH {_tok()} SELECT doc_id, CAST(p - 1 AS BIGINT) AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM docs WHERE len(w) > 2) WHERE w[p] = 'the' AND w[p + 1] = 'the' AND w[p + 2] = 'of'")
+def index_phrase_positions(spark, d):
+    """Position lists of an index intersected."""
+    return index.phrase_places(_index(spark, d), "the the of")
+
+
 @query("""WITH RECURSIVE e(child, parent) AS (VALUES (2, 1), (3, 2), (4, 2), (5, 4), (5, 6)), up(lexeme_id, node) AS (SELECT child, parent FROM e UNION SELECT lexeme_id, parent FROM up JOIN e ON node = child)
     SELECT DISTINCT CAST(lexeme_id AS BIGINT) AS lexeme_id, CAST(node AS BIGINT) AS root_id FROM up WHERE node NOT IN (SELECT child FROM e)""")
 def dict_link_roots(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import tokens
+from korpusflow.sources import snapshots
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -83,9 +84,15 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot, or a plain message if there is none; what else may be wrong with it stays an error of its own."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+    """A table of a snapshot, of its newest whole version; or a plain message if there is none.  What else may be wrong with it stays an error of its own.
+
+    A single table that save() wrote counts as whole when its writer has marked it so.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    at = snapshots.version_at(spark, folder) if folder else None
+    if at and snapshots.exists(spark, f"{at}/{name}"):
+        return spark.read.parquet(f"{at}/{name}")
+    if not snapshots.exists(spark, f"{path}/_SUCCESS"):
         raise FileNotFoundError(f"no snapshot at {path}; build it first")
     return spark.read.parquet(path)
 

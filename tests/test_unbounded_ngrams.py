@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from korpusflow.operators import ngrams
+from korpusflow.operators import prefixes as P
 from korpusflow.operators.morphology import Dictionary
 from korpusflow.sources.scratch import stored
 
@@ -59,7 +60,7 @@ def test_long_copies_cost_rows_in_proportion(spark, monkeypatch):
     found = stored(ngrams.stable_ngrams(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), None, 3, 0.9), "found")
     long = {x.gram: (x.n, x.occ, x.df) for x in found.collect() if x.n >= 900}
     assert long == {"x " + " ".join(text): (3001, 3, 3), " ".join(text[:1000]): (1000, 5, 3), " ".join(text[:2000]): (2000, 4, 3)}
-    assert max(rows) <= 12 * sum(len(w) for _, w in docs)
+    assert max(rows) <= 2 * P.PARTS * sum(len(w) for _, w in docs)
 
 
 def test_lexemes_of_one_lemma_are_one_gram(spark):
