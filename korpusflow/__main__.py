@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("phrase")
     t.add_argument("context", type=int)
     t.add_argument("threshold", type=int)
+    t.add_argument("--compat", action="store_true", help="no left side for matches nearer to the beginning than context - length - 1")
     t = task("ngrams", "stable n-grams, all or those with a phrase")
     t.add_argument("phrase")
     t.add_argument("frequency", type=int, nargs="?")
@@ -81,7 +82,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.task == "concordance":
         keyword = " ".join(r["lemma"] for r in resolve_words(spark, words(args.phrase), dictionary))
         for name, side in (("l", "left"), ("r", "right"), ("lr", "both")):
-            put(f"concordances_{name}.txt", report.concordance_report(concordance.concordance(corpus, args.phrase, args.context, args.threshold, side, dictionary), keyword))
+            put(f"concordances_{name}.txt", report.concordance_report(concordance.concordance(corpus, args.phrase, args.context, args.threshold, side, dictionary, args.compat), keyword))
     elif args.task == "ngrams":
         if args.frequency is not None:
             found = ngrams.stable_ngrams(corpus, None, args.frequency, 0.7 if args.stability is None else args.stability, dictionary)
