@@ -48,6 +48,8 @@ class Dictionary:
     forms: DataFrame
     links: DataFrame
     frequencies: DataFrame
+    #: Words without a form that some corpus had (operators.unknown), and what they make of query surfaces.
+    unknown: DataFrame | None = None
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Dictionary:
@@ -101,13 +103,25 @@ class Dictionary:
         self._resolution = cut(rows.withColumn("k", first).where("k = 1").select(F.col("key").alias("surface"), "form", "f_idx", F.col("lexeme_id").alias("form_lexeme_id"), "form_lemma", "form_pos", "grammemes", F.col("resolved_id").alias("lexeme_id"), "lemma", "pos"))
         return self._resolution
 
+    def knowing(self, unknown: DataFrame, aliases: DataFrame) -> Dictionary:
+        """The dictionary with unknown words as lexemes of their own and other spellings of them: to look queries up.
+
+        Texts are looked up without it: there each unknown surface is its own lexeme anyway, and this table is as large as their vocabulary.
+        """
+        out = Dictionary(self.lexemes, self.forms, self.links, self.frequencies, unknown)
+        own = {name: c for name, c in unknown_columns("to").items() if name not in ("form_lexeme_id", "lexeme_id")}
+        rows = unknown.select("surface", F.col("surface").alias("to"), "lexeme_id").unionByName(aliases.select(F.col("alias").alias("surface"), F.col("surface").alias("to"), "lexeme_id"))
+        rows = rows.select("surface", F.col("lexeme_id").alias("form_lexeme_id"), "lexeme_id", *(c.alias(name) for name, c in own.items()))
+        out._resolved, out._resolution = self.resolved(), self.resolution().unionByName(rows)
+        return out
+
     def check(self) -> None:
         """Refuses a dictionary with grammemes, parts of speech or list tags that aren't known."""
         if bad := strange_tags(self.lexemes, self.forms, self.frequencies).orderBy("kind", "tag").limit(20).collect():
             raise ValueError("unknown tags: " + ", ".join(f"{r.kind} {r.tag} ({r.n})" for r in bad))
 
     def save(self, path: str) -> None:
-        """A new version of the snapshot: the four tables and what they resolve to; unknown words aren't part of it."""
+        """A new version of the snapshot: the four tables and what they resolve to; unknown words have a table of their own (operators.unknown)."""
         tables = {name: getattr(self, name) for name in TABLES} | {"resolved": self.resolved(), "resolution": self.resolution()}
         snapshots.publish(self.lexemes.sparkSession, path, tables)
 

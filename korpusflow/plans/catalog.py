@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.functions import text as T
-from korpusflow.operators import concordance, frequency, index, morphology, ngrams, patterns, report, search
+from korpusflow.operators import concordance, frequency, index, morphology, ngrams, patterns, ranks, report, search, unknown
 from korpusflow.sources import corpus as C
 from korpusflow.sources.scratch import shared_folder
 
@@ -463,3 +463,33 @@ def pages_doc_lengths(spark, d):
 @query("SELECT CAST(item_id AS BIGINT) AS item_id, translate(text, '<>:\"/\\|?* ', '__________') AS file_name FROM benchmark")
 def file_names(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.file_name(F.col("text")).alias("file_name"))
+
+
+@query(f"WITH f AS ({_frequency_sql('true', False)}) SELECT *, row_number() OVER (ORDER BY occ DESC, lemma) AS rank FROM f")
+def lemma_frequency_ranked(spark, d):
+    return ranks.ranked(frequency.frequency_list(documents(spark, d), ordered=False), F.desc("occ"), "lemma")
+
+
+@query(f'WITH c AS ({_concordance_sql(["the", "the"], 2, 2, "b = 0", False)}) SELECT *, row_number() OVER (ORDER BY freq DESC, "left", "right") AS rank FROM c')
+def concordance_ranked(spark, d):
+    return ranks.ranked(concordance.concordance(documents(spark, d), "the the", 2, 2, "left", ordered=False), F.desc("freq"), "left", "right")
+
+
+@query(f"WITH s AS ({_bm25_sql(['der', 'die', 'und', 'la', 'the'], False)}) SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s")
+def bm25_ranked(spark, d):
+    return ranks.ranked(search.bm25(documents(spark, d), "Der die und la the"), F.desc("score"), "doc_id")
+
+
+
+@query(f"""WITH {_tok()}, conv AS (SELECT {T.sql_tokens('text')} AS w, row_number() OVER () AS doc_id FROM conversations),
+    every AS (SELECT surface, 'd' || doc_id AS doc FROM tok UNION ALL SELECT unnest(w), 'c' || doc_id FROM conv),
+    u AS (SELECT surface, count(*) AS occ, count(DISTINCT doc) AS texts FROM every WHERE surface NOT IN ({", ".join(f"'{r[0]}'" for r in RESOLUTION)}) GROUP BY surface),
+    a AS (SELECT translate(surface, 'ёЁ', 'еЕ') AS alias, min(surface) AS surface FROM u WHERE surface <> translate(surface, 'ёЁ', 'еЕ') GROUP BY alias)
+    SELECT u.surface, occ, texts, a.alias FROM u LEFT JOIN a ON u.surface = a.surface AND a.alias NOT IN (SELECT surface FROM u)""")
+def unknown_words(spark, d):
+    """The unknown words of the documents, then those of the conversations added to them."""
+    dictionary = toy(spark)
+    words = unknown.merged(None, unknown.counts(documents(spark, d), dictionary))
+    words = unknown.merged(words, unknown.counts(spark.read.parquet(f"{d}/conversations.parquet").select("text"), dictionary))
+    named = unknown.aliases(words, dictionary).select("surface", "alias")
+    return words.join(named, "surface", "left").select("surface", "occ", "texts", "alias")
