@@ -21,6 +21,8 @@ DEPTH = 5
 LEAD = 3
 #: Bytes of text of one block, and positions that numpy handles at once.
 BLOCK, STEP = 8 << 20, 1 << 20
+#: Rows that a block, or a unit between blocks and buckets, writes at most for what it asks.
+FAN = 128
 _END_WORD = b"\xff"  # no UTF-8 text has this byte
 _TEXTS, _GRAMS, _WORDS = range(3)
 
@@ -122,24 +124,53 @@ class Block:
         return out
 
 
-def in_buckets(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each bucket that has any: places of its keys."""
-    of = bucket_of(keys, buckets)
-    order = np.argsort(of, kind="stable")
-    ends = np.flatnonzero(np.append(of[order][1:] != of[order][:-1], True)) + 1
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        yield int(of[order[a]]), order[a:b]
+class Levels:
+    """The way of questions from blocks to buckets, and of answers back.
+
+    With up to `fan` buckets a block asks each of them.  With more, blocks and
+    buckets would make rows by their product; so the bucket's number is read in
+    digits to the base `fan`, one for each level.  On level l the questions of
+    fan ** l blocks that agree in l digits meet in a unit, which asks each key
+    once on the next level.  A unit holds about as much as a block, and each
+    writes `fan` rows at most.  On the last level units are the buckets.
+    """
+
+    def __init__(self, buckets: int, fan: int = FAN):
+        self.levels = 1
+        while fan**self.levels < buckets:
+            self.levels += 1
+        self.fan = max(1, int(buckets ** (1 / self.levels)))
+        while self.fan**self.levels < buckets:
+            self.fan += 1
+        self.buckets = self.fan**self.levels
+
+    def split(self, level: int, source: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each unit of the next level that a block (level 0) or unit has keys for: places of these."""
+        if not len(keys):
+            return
+        if level:
+            group, digits = divmod(source, self.fan**level)
+            group //= self.fan
+        else:  # which blocks meet is left to a hash of their numbers
+            group, digits = ((source * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % self.fan ** (self.levels - 1), 0
+        of = bucket_of(keys, self.buckets) // self.fan**level % self.fan
+        order = np.argsort(of, kind="stable")
+        ends = np.flatnonzero(np.append(of[order][1:] != of[order][:-1], True)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield group * self.fan ** (level + 1) + digits + int(of[order[a]]) * self.fan**level, order[a:b]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-_ASKED = "block long, kind int, bucket int, keys binary, n binary"
+_ASKED = "block long, kind int, bucket long, keys binary, n binary"
+_UP = "block long, bucket long, keys binary, n binary"
+_ANSWER = "block long, kind int, bucket long, answer binary"
 
 
-def _deal(block_bytes: int, depth: int, buckets: int):
-    """Blocks of consecutive rows: their texts, compressed, and what they ask for, a row for each bucket."""
+def _deal(block_bytes: int, depth: int, levels: Levels):
+    """Blocks of consecutive rows: their texts, compressed, and what they ask for, a row for each unit of the first level."""
 
     def rows(number: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -151,14 +182,14 @@ def _deal(block_bytes: int, depth: int, buckets: int):
         block = Block(_lowered(table), depth)
         del table, sink
         keys, n = block.keys(held)
-        out += [(number, _GRAMS, b, packed(keys[at]), planes(n[at].astype(np.uint32))) for b, at in in_buckets(keys, buckets)]
+        out += [(number, _GRAMS, b, packed(keys[at]), planes(n[at].astype(np.uint32))) for b, at in levels.split(0, number, keys)]
         words, places, sizes = block.words()
         n = np.bincount(places[np.repeat(~held, sizes)], minlength=len(words)).astype(np.uint32)
-        out += [(number, _WORDS, b, b" ".join([words[k] for k in at.tolist()]), planes(n[at])) for b, at in in_buckets(word_hashes(words), buckets)]
+        out += [(number, _WORDS, b, b" ".join([words[k] for k in at.tolist()]), planes(n[at])) for b, at in levels.split(0, number, word_hashes(words))]
         del keys, n, block, words, places
         give_back()
         for at in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["block", "kind", "bucket", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 256], strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["block", "kind", "bucket", "keys", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -181,24 +212,104 @@ def _lowered(table: pa.Table) -> list[bytes]:
     return [(t or "").encode().lower() for chunk in table.column("__text").chunks for t in chunk.to_pylist()]
 
 
-def _gram_sums(table: pa.Table) -> pa.Table:
-    keys, n = _summed(np.concatenate([unpacked(x) for x in table.column("keys").to_pylist()]), np.concatenate([unplanes(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64))
-    return pa.table({"key": keys.astype(np.int64), "n": n})
+def _gram_counts(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(np.concatenate([unpacked(x) for x in table.column("keys").to_pylist()]), np.concatenate([unplanes(x, kind) for x in table.column("n").to_pylist()]).astype(np.int64))
 
 
-def _word_sums(table: pa.Table) -> pa.Table:
-    """For each asking block the sums of its words; in a row without a block how many tokens and distinct ones were learned."""
-    asked, n = [x.split(b" ") for x in table.column("keys").to_pylist()], [unplanes(x, np.uint32).tolist() for x in table.column("n").to_pylist()]
-    total: Counter[bytes] = Counter()
-    for words, k in zip(asked, n, strict=True):
-        for w, c in zip(words, k, strict=True):
+def _word_counts(table: pa.Table, kind: type) -> tuple[list[list[bytes]], Counter[bytes]]:
+    """The words of each row, and the sums of all."""
+    asked, total = [x.split(b" ") for x in table.column("keys").to_pylist()], Counter()
+    for words, n in zip(asked, table.column("n").to_pylist(), strict=True):
+        for w, c in zip(words, unplanes(n, kind).tolist(), strict=True):
             total[w] += c
-    answers = [planes(np.array([total[w] for w in words], dtype=np.int64)) for words in asked]
-    m, bucket = len(asked), table.column("bucket")[0].as_py()
-    return pa.table({
-        "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "kind": pa.array([_WORDS] * (m + 1), pa.int32()), "bucket": pa.array([bucket] * (m + 1), pa.int32()),
-        "answer": pa.array([*answers, None], pa.binary()), "tokens": pa.array([0] * m + [total.total()], pa.int64()), "distinct": pa.array([0] * m + [sum(c > 0 for c in total.values())], pa.int64()),
-    })
+    return asked, total
+
+
+def _kind(level: int) -> type:
+    """What counts that come to a level are kept as: those of one block are small."""
+    return np.uint32 if level == 1 else np.int64
+
+
+def _gram_sums(level: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = _gram_counts(table, _kind(level))
+        return pa.table({"key": keys.astype(np.int64), "n": n})
+
+    return run
+
+
+def _asking(unit: int, rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
+    give_back()
+    return pa.table({"block": pa.array([unit] * len(rows), pa.int64()), "bucket": pa.array([b for b, _, _ in rows], pa.int64()), "keys": pa.array([k for _, k, _ in rows], pa.binary()), "n": pa.array([n for _, _, n in rows], pa.binary())})
+
+
+def _grams_up(levels: Levels, level: int):
+    """What a unit asks on the next level: each gram of its questions once, counts summed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit = table.column("bucket")[0].as_py()
+        keys, n = _gram_counts(table, _kind(level))
+        return _asking(unit, [(b, packed(keys[at]), planes(n[at])) for b, at in levels.split(level, unit, keys)])
+
+    return run
+
+
+def _words_up(levels: Levels, level: int):
+    """The same for words, in the order of their bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unit, (_, total) = table.column("bucket")[0].as_py(), _word_counts(table, _kind(level))
+        words = sorted(total)
+        n = np.array([total[w] for w in words], dtype=np.int64)
+        return _asking(unit, [(b, b" ".join([words[k] for k in at.tolist()]), planes(n[at])) for b, at in levels.split(level, unit, word_hashes(words))])
+
+    return run
+
+
+def _answered(asked: pa.Table, kind: int, answers: list[bytes]) -> pa.Table:
+    give_back()
+    return pa.table({"block": asked.column("block"), "kind": pa.array([kind] * len(answers), pa.int32()), "bucket": asked.column("bucket"), "answer": pa.array(answers, pa.binary())})
+
+
+def _grams_down(levels: Levels, level: int):
+    """Passes on to those that asked a unit what it was answered itself."""
+
+    def run(asked: pa.Table, above: pa.Table) -> pa.Table:
+        unit, rows = asked.column("bucket")[0].as_py(), [unpacked(x) for x in asked.column("keys").to_pylist()]
+        got, keys = dict(zip(above.column("bucket").to_pylist(), above.column("answer").to_pylist(), strict=True)), np.unique(np.concatenate(rows))
+        value = np.empty(len(keys), dtype=np.float32)
+        for b, at in levels.split(level, unit, keys):
+            value[at] = np.frombuffer(got[b], dtype=np.float32)
+        return _answered(asked, _GRAMS, [value[np.searchsorted(keys, x)].tobytes() for x in rows])
+
+    return run
+
+
+def _words_down(levels: Levels, level: int):
+    def run(asked: pa.Table, above: pa.Table) -> pa.Table:
+        unit, rows = asked.column("bucket")[0].as_py(), [x.split(b" ") for x in asked.column("keys").to_pylist()]
+        got, words = dict(zip(above.column("bucket").to_pylist(), above.column("answer").to_pylist(), strict=True)), sorted({w for row in rows for w in row})
+        count: dict[bytes, int] = {}
+        for b, at in levels.split(level, unit, word_hashes(words)):
+            count.update(zip([words[k] for k in at.tolist()], unplanes(got[b], np.int64).tolist(), strict=True))
+        return _answered(asked, _WORDS, [planes(np.array([count[w] for w in row], dtype=np.int64)) for row in rows])
+
+    return run
+
+
+def _word_sums(level: int):
+    """For each asking block or unit the sums of its words; in a row without one how many tokens and distinct ones were learned."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, total = _word_counts(table, _kind(level))
+        answers = [planes(np.array([total[w] for w in words], dtype=np.int64)) for words in asked]
+        m, bucket = len(asked), table.column("bucket")[0].as_py()
+        return pa.table({
+            "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "kind": pa.array([_WORDS] * (m + 1), pa.int32()), "bucket": pa.array([bucket] * (m + 1), pa.int64()),
+            "answer": pa.array([*answers, None], pa.binary()), "tokens": pa.array([0] * m + [total.total()], pa.int64()), "distinct": pa.array([0] * m + [sum(c > 0 for c in total.values())], pa.int64()),
+        })
+
+    return run
 
 
 def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +352,7 @@ def _values(depth: int, lead: int, top: Top, buckets: int):
                 p = np.where(own, one[node], 1 - one[node])
                 mixed[:, b] = cut[node] * p + (1 - cut[node]) * mixed[:, b]
         value = top.log10(keys, mixed, depth).astype(np.float32)
-        return pa.table({"bucket": bucket_of(keys, buckets).astype(np.int32), "key": keys.astype(np.int64), "value": value})
+        return pa.table({"bucket": bucket_of(keys, buckets), "key": keys.astype(np.int64), "value": value})
 
     return run
 
@@ -288,20 +399,21 @@ class Table:
         return out
 
 
-def _scores(id_col: str, depth: int, total: int, distinct: int, buckets: int):
+def _scores(id_col: str, depth: int, total: int, distinct: int, levels: Levels):
     def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        number = dealt.column("block")[0].as_py()
         table = pa.ipc.open_stream(dealt.column("keys")[0].as_buffer()).read_all()
         block = Block(_lowered(table), depth)
         got = {(k, b): a for k, b, a in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "answer")), strict=True)}
         keys = block.distinct()
         value = np.empty(len(keys), dtype=np.float32)
-        for b, at in in_buckets(keys, buckets):
+        for b, at in levels.split(0, number, keys):
             value[at] = np.frombuffer(got[_GRAMS, b], dtype=np.float32)
         score = block.scores(keys, value)
         del keys, value
         words, places, tokens = block.words()
         count = np.empty(len(words), dtype=np.int64)
-        for b, at in in_buckets(word_hashes(words), buckets):
+        for b, at in levels.split(0, number, word_hashes(words)):
             count[at] = unplanes(got[_WORDS, b], np.int64)
         starts = np.cumsum(tokens) - tokens
         base = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1))[places], starts)
@@ -317,7 +429,7 @@ def _scores(id_col: str, depth: int, total: int, distinct: int, buckets: int):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = DEPTH, block_bytes: int = BLOCK) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = DEPTH, block_bytes: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Rows whose crc32(id as text) mod 7 is 2 are held out; the model and the
@@ -329,10 +441,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     How it spreads: consecutive rows of about block_bytes are a block, written
     with its texts (compressed) and with what it asks: each distinct gram of
-    depth + 1 bytes and each word, once, with its training count, a row for
-    each bucket of hashes.  Buckets are as many as blocks, so that a bucket's
-    task holds about as much as a block's; even the commonest gram is asked
-    once by a block.  Sums by gram are the model's counts; subtrees below
+    depth + 1 bytes and each word, once, with its training count.  Buckets of
+    hashes are as many as blocks, so that a bucket's task holds about as much
+    as a block's; even the commonest gram is asked once by a block.  Up to
+    `fan` buckets are asked by each block; more through units (Levels) that
+    gather the questions of many blocks, so that rows are at most fan for each
+    block and level and grow with the bytes of text, not with their square.
+    Levels are the logarithm of the blocks to the base fan.  Sums by gram are the model's counts; subtrees below
     contexts of LEAD bytes are weighted each in one task; the answers go back
     to the blocks that asked, in the order of asking.  Only sums for the
     decisions after one byte (at most 256 * 255, whatever the corpus) reach
@@ -341,14 +456,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    buckets, lead = max(1, round(size / block_bytes)), min(LEAD, depth)
-    parts = max(16, 4 * buckets)
+    levels, lead = Levels(max(1, round(size / block_bytes)), fan), min(LEAD, depth)
+    parts = max(16, 4 * levels.buckets)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text.alias("__text")).mapInArrow(_deal(block_bytes, depth, buckets), _ASKED)
+    every = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), text.alias("__text")).mapInArrow(_deal(block_bytes, depth, levels), _ASKED)
     dealt = stored(every, "lm-blocks", "kind")
     texts, asked, words = (dealt.where(F.col("kind") == k) for k in (_TEXTS, _GRAMS, _WORDS))
-    counts = stored(asked.select("bucket", "keys", "n").groupBy("bucket").applyInArrow(_gram_sums, "key long, n long"), "lm-counts")
-    known = stored(words.select("block", "bucket", "keys", "n").groupBy("bucket").applyInArrow(_word_sums, "block long, kind int, bucket int, answer binary, tokens long, distinct long"), "lm-words")
+    asked, words = [asked.select("block", "bucket", "keys", "n")], [words.select("block", "bucket", "keys", "n")]
+    for level in range(1, levels.levels):
+        asked.append(stored(asked[-1].groupBy("bucket").applyInArrow(_grams_up(levels, level), _UP), "lm-grams"))
+        words.append(stored(words[-1].groupBy("bucket").applyInArrow(_words_up(levels, level), _UP), "lm-word-sums"))
+    counts = stored(asked[-1].select("bucket", "keys", "n").groupBy("bucket").applyInArrow(_gram_sums(levels.levels), "key long, n long"), "lm-counts")
+    known = stored(words[-1].groupBy("bucket").applyInArrow(_word_sums(levels.levels), f"{_ANSWER}, tokens long, distinct long"), "lm-words")
     release(spark)
     total, distinct = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     part = lambda column: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
@@ -364,10 +483,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = Top(*(np.array([r[k] for r in top]) for k in range(5)))
     above = nodes.select("lead", "decision", F.shiftright("lead", 8).alias("up")).join(second.select(F.col("lead").alias("up"), "decision", "cut", "one"), ["up", "decision"]).select(part(F.col("lead")).alias("part"), "lead", "decision", "cut", "one")
     above = above if lead > 2 else above.where(F.lit(False))
-    values = placed.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(_values(depth, lead, top, buckets), "bucket int, key long, value float")
-    answers = stored(asked.select("block", "bucket", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answers, "block long, kind int, bucket int, answer binary"), "lm-answers")
+    values = placed.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(_values(depth, lead, top, levels.buckets), "bucket long, key long, value float")
+    answers = stored(asked[-1].select("block", "bucket", "keys").groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answers, _ANSWER), "lm-answers")
     discard(counts, nodes, second)
     release(spark)
-    answers = answers.unionByName(known.where("block is not null").select("block", "kind", "bucket", "answer"))
+    told = known.where("block is not null").select("block", "kind", "bucket", "answer")
+    for level in range(levels.levels - 1, 0, -1):
+        above, told_above = answers, told
+        answers = stored(asked[level - 1].select("block", "bucket", "keys").groupBy("bucket").cogroup(above.groupBy("block")).applyInArrow(_grams_down(levels, level), _ANSWER), "lm-answers")
+        told = stored(words[level - 1].select("block", "bucket", "keys").groupBy("bucket").cogroup(told_above.groupBy("block")).applyInArrow(_words_down(levels, level), _ANSWER), "lm-words")
+        discard(above, asked[level], words[level])
+    answers = answers.unionByName(told)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return texts.select("block", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(id_col, depth, int(total), int(distinct), buckets), schema)
+    return texts.select("block", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(id_col, depth, int(total), int(distinct), levels), schema)
