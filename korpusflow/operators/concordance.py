@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from korpusflow.functions.text import tokens
 from korpusflow.operators.morphology import Dictionary, annotate, resolve_words, surfaces_of
 from korpusflow.sources.corpus import once, token_rows
+from korpusflow.sources.scratch import stored
 
 
 def phrase_lexemes(corpus: DataFrame, phrase: str, dictionary: Dictionary | None) -> list[tuple[int, str]]:
@@ -44,7 +45,7 @@ def _matches(corpus: DataFrame, phrase: str, dictionary: Dictionary | None, cont
 
 def _lemmas(rows: DataFrame, sides: list[str], dictionary: Dictionary) -> DataFrame:
     """rows with the surfaces in the array columns `sides` replaced by structs of lexeme_id and lemma."""
-    keyed = rows.withColumn("hit", F.monotonically_increasing_id())
+    keyed = stored(rows.withColumn("hit", F.monotonically_increasing_id()), "hits")  # a task that runs again must not number its rows anew
 
     def places(s: str) -> Column:
         return F.transform(s, lambda x, k: F.struct(F.lit(s).alias("side"), k.alias("k"), x.alias("surface")))

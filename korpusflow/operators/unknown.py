@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from korpusflow.functions.text import deyotized
 from korpusflow.operators.morphology import Dictionary, unknown_id
 from korpusflow.sources import snapshots
-from korpusflow.sources.corpus import token_table
+from korpusflow.sources.corpus import once, token_rows
 from korpusflow.sources.scratch import stored
 
 SCHEMA = "surface string, lexeme_id long, occ long, texts long"
@@ -18,11 +18,11 @@ TABLE = "unknown"
 def counts(corpus: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     """surface, occ, texts of the corpus's unknown words; a row is a text, whatever its id.
 
-    Equal words of a text are counted in its own row, so that one shuffle is left, of sums.
+    A row's own words are sorted, so that the first of equal ones counts the text: one shuffle is left, of sums.
     """
-    rows = token_table(corpus.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    each = rows.groupBy("surface", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    out = each.groupBy("surface").agg(F.sum("n").alias("occ"), F.count(F.lit(1)).alias("texts"))
+    rows = once(token_rows(corpus.select(F.lit(0).alias("doc_id"), "text")), sorted=F.array_sort("w"))
+    words = F.transform("sorted", lambda x, k: F.struct(x.alias("surface"), F.coalesce(F.get(F.col("sorted"), k - 1) != x, F.lit(True)).cast("long").alias("first")))
+    out = rows.select(F.inline(words)).groupBy("surface").agg(F.count(F.lit(1)).alias("occ"), F.sum("first").alias("texts"))
     return out if dictionary is None else out.join(dictionary.resolution().select("surface"), "surface", "left_anti")
 
 

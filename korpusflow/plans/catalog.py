@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -317,26 +318,47 @@ def index_phrase_positions(spark, d):
     return index.phrase_places(_index(spark, d), "the the of")
 
 
-@query("""WITH RECURSIVE e(child, parent) AS (VALUES (2, 1), (3, 2), (4, 2), (5, 4), (5, 6)), up(lexeme_id, node) AS (SELECT child, parent FROM e UNION SELECT lexeme_id, parent FROM up JOIN e ON node = child)
-    SELECT DISTINCT CAST(lexeme_id AS BIGINT) AS lexeme_id, CAST(node AS BIGINT) AS root_id FROM up WHERE node NOT IN (SELECT child FROM e)""")
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return C.token_table(documents(spark, d)).select("surface").distinct()
+
+
+@query(f"""WITH RECURSIVE {_tok()}, v AS (SELECT DISTINCT surface FROM tok),
+    e AS (SELECT surface AS child, left(surface, length(surface) - 1) AS parent FROM v WHERE length(surface) > 1 AND length(surface) % 5 <> 0 AND left(surface, length(surface) - 1) IN (SELECT surface FROM v)),
+    up(lexeme_id, node) AS (SELECT child, parent FROM e UNION SELECT lexeme_id, parent FROM up JOIN e ON node = child)
+    SELECT DISTINCT lexeme_id, node AS root_id FROM up WHERE node NOT IN (SELECT child FROM e)""")
 def dict_link_roots(spark, d):
-    return morphology.link_roots(spark.createDataFrame([(1, 2, 3), (2, 3, 0), (2, 4, 1), (4, 5, 27), (6, 5, 5), (1, 7, 7), (1, 7, 99)], "src long, dst long, type int"))
+    """The documents' words: each is the child of the word without its last letter; links from every fifth length don't merge."""
+    words = vocabulary(spark, d)
+    links = words.where("length(surface) > 1").select(F.expr("left(surface, length(surface) - 1)").alias("src"), F.col("surface").alias("dst"), F.expr("if(length(surface) % 5 = 0, 7, 3)").alias("type"))
+    return morphology.link_roots(links.join(words.select(F.col("surface").alias("src")), "src", "left_semi"))
 
 
-@query(f"SELECT surface, form_lemma, form_pos, grammemes, lemma, pos FROM {_values(RESOLUTION)} r(surface, form_lemma, form_pos, grammemes, lemma, pos)")
+@query(f"WITH {_tok()}, {_ANN} SELECT DISTINCT surface, form_lemma, form_pos, grammemes, lemma, pos FROM ann")
 def dict_disambiguate(spark, d):
-    return toy(spark).resolution().select("surface", "form_lemma", "form_pos", F.array_join(F.array_sort("grammemes"), " ").alias("grammemes"), "lemma", "pos")
+    rows = morphology.annotate(vocabulary(spark, d), toy(spark))
+    return rows.select("surface", "form_lemma", "form_pos", F.array_join(F.array_sort("grammemes"), " ").alias("grammemes"), "lemma", "pos")
 
 
-@query("SELECT * FROM (VALUES (CAST(5 AS BIGINT), CAST(5.0 AS DOUBLE)), (6, 10.0), (1, 50.0)) r(lexeme_id, freq)")
+@query(f"""WITH {_tok()}, lex AS (SELECT DISTINCT surface, length(surface) % 2 AS odd FROM tok), keys AS (SELECT surface, surface AS k, odd FROM lex UNION SELECT surface, translate(surface, 'ёЁ', 'еЕ'), odd FROM lex),
+    list AS (SELECT lemma, turn, count(*) AS freq FROM (SELECT unnest({T.sql_tokens('text')}) AS lemma, turn FROM conversations) GROUP BY lemma, turn)
+    SELECT surface AS lexeme_id, CAST(arg_max(freq, turn) AS DOUBLE) AS freq FROM keys JOIN list ON k = lemma AND odd = turn % 2 GROUP BY surface""")
 def dict_frequency_overlay(spark, d):
-    return toy(spark).lexeme_freq().select("lexeme_id", F.col("freq").cast("double").alias("freq"))
-
-
-@query("SELECT * FROM (VALUES ('самолёт', 'самолёт', 0), ('самолет', 'самолёт', 1), ('все', 'все', 0), ('Еж', 'Ёж', 1), ('Ёж', 'Ёж', 0)) r(\"key\", form, yo)")
+    """The documents' words as nouns or, of odd length, verbs; the conversations' counts of each turn as the list, verbs in odd turns: the last turn counts."""
+    words = vocabulary(spark, d)
+    lexemes = words.select(F.col("surface").alias("lexeme_id"), F.col("surface").alias("lemma"), F.expr("if(length(surface) % 2 = 1, 'INFN', 'NOUN')").alias("pos"))
+    turns = C.token_table(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("turn").alias("doc_id"), "text"))
+    listed = turns.groupBy(F.col("surface").alias("lemma"), F.col("doc_id").cast("long").alias("line")).agg(F.count(F.lit(1)).cast("float").alias("freq"))
+    listed = listed.withColumn("list_pos", F.expr("if(line % 2 = 1, 'v', 's')"))
+    dictionary = dataclasses.replace(morphology.Dictionary.empty(spark), lexemes=lexemes, frequencies=listed)
+    return dictionary.lexeme_freq().select("lexeme_id", F.col("freq").cast("double").alias("freq"))
+
+
+@query(f"""WITH {_tok()}, f AS (SELECT DISTINCT translate(surface, 'eE', 'ёЁ') AS form FROM tok)
+    SELECT form AS "key", form, 0 AS yo FROM f UNION ALL SELECT translate(form, 'ёЁ', 'еЕ'), form, 1 FROM f WHERE contains(form, 'ё') OR contains(form, 'Ё')""")
 def dict_yo_keys(spark, d):
-    forms = [(1, 0, "самолёт", []), (2, 0, "все", []), (3, 0, "Ёж", [])]
-    return morphology.Dictionary.of(spark, [], forms, [], []).form_keys().select("key", "form", "yo")
+    """The documents' words, written with ё for e."""
+    forms = vocabulary(spark, d).select(F.translate("surface", "eE", "ёЁ").alias("form")).distinct()
+    return dataclasses.replace(morphology.Dictionary.empty(spark), forms=forms).form_keys().select("key", "form", "yo")
 
 
 @query(f"""WITH f AS ({_frequency_sql("true", True)})
@@ -400,9 +422,10 @@ _SYN_2 = f"syn AS (SELECT {{}} FROM {_values(THESAURUS_2)} r(head, synonym, ord)
 )
 
 
-@query(f"WITH RECURSIVE {_resolution_sql()} SELECT surface, form, CAST(form_lexeme_id AS BIGINT) AS form_lexeme_id, form_pos, CAST(lexeme_id AS BIGINT) AS lexeme_id, lemma, pos FROM res")
+@query(f"WITH RECURSIVE {_tok()}, {_resolution_sql()} SELECT surface, form, CAST(form_lexeme_id AS BIGINT) AS form_lexeme_id, form_pos, CAST(lexeme_id AS BIGINT) AS lexeme_id, lemma, pos FROM res WHERE surface IN (SELECT surface FROM tok)")
 def dict_resolution(spark, d):
-    return homonyms(spark).resolution().select("surface", "form", "form_lexeme_id", "form_pos", "lexeme_id", "lemma", "pos")
+    """What the dictionary makes of those of the documents' words that it has."""
+    return vocabulary(spark, d).join(homonyms(spark).resolution(), "surface").select("surface", "form", "form_lexeme_id", "form_pos", "lexeme_id", "lemma", "pos")
 
 
 @query(f"""WITH RECURSIVE {_tok()}, {_ANN_2} SELECT CAST(key AS BIGINT) AS lexeme_id, any_value(lemma) AS lemma, any_value(pos) AS pos, count(*) AS occ, round(count(*) * 1e6 / any_value(words), 6) AS ipm, count(DISTINCT doc_id) AS texts
