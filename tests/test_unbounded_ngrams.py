@@ -78,3 +78,24 @@ def test_order_and_empty(spark):
     got = ngrams.stable_ngrams(df, None, 2, 0.7, ordered=True).collect()
     assert [x.gram for x in got] == [x.gram for x in sorted(got, key=lambda x: (-x.tfidf, x.gram))] and {x.gram for x in got} == {"a b", "c d"}
     assert ngrams.stable_ngrams(df.where("doc_id > 9"), None, 2, 0.7).count() == 0
+
+
+def test_the_filter_keeps_rare_grams_out_of_the_counting(spark):
+    """Of 4,000 different tokens that stand once only the repeated run is counted; units are many, and equal to one."""
+    docs = [(k, " ".join(f"u{k}x{j}" for j in range(200)) + " a b c d") for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    units = P.units(df, "doc_id", "text")
+    masks = P.frequent(units, 4, 4)
+    assert {(x.m, x.n - x.i) for x in P.every_gram(units, [2, 3, 4], masks).collect()} == {(2, 1), (2, 2), (2, 3), (3, 2), (3, 3), (4, 3)}
+    counts = P.gram_counts(units, masks, [2, 3, 4])
+    assert [(x.n, x.occ, x.df) for x in counts.orderBy("n").collect()] == [(2, 20, 20)] * 3 + [(3, 20, 20)] * 2 + [(4, 20, 20)]
+
+
+@pytest.mark.parametrize("unit", [1, 50])
+def test_units_of_any_size_give_the_same(spark, monkeypatch, unit):
+    docs = [(k, "a b c a b x " * (k % 3) + "r" * k) for k in range(30)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(P, "UNIT", unit)
+    got = {x.gram: (x.n, x.occ, x.df) for x in ngrams.stable_ngrams(df, 3, 3, 0.7).collect()}
+    long = brute_force([(i, (t or "").split()) for i, t in docs], 3, 0.7)
+    assert got == {g: x for g, x in long.items() if x[0] <= 3}
