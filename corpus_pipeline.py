@@ -12,6 +12,7 @@ from korpusflow.llm.near import near_copies
 from korpusflow.llm.packing import pack
 from korpusflow.llm.quality_model import quality_classifier
 from korpusflow.llm.quality_rules import quality_rules
+from korpusflow.llm.simhash import simhash_groups
 
 #: The key of a row; a stage's own, never returned.
 ROW = "__row"
@@ -46,9 +47,14 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies stays: five-word Jaccard similarity of 0.8 or more, by chains."""
+    """The smallest doc_id of each group of near copies stays, by chains of two kinds of links: SimHash fingerprints that differ in 3 bits at most (op4), and five-word Jaccard similarity of 0.8 or more.
+
+    Fingerprints miss most pairs of that similarity, so both are looked for among all rows, and groups are joined by either.
+    Texts without words have fingerprint 0 and are a group.
+    """
     rows = keyed(docs)
-    return rows.join(near_copies(rows), ROW, "left_anti").select(docs.columns)
+    alike = simhash_groups(rows, ROW).where(f"component_id != {ROW}").select(F.col(ROW).alias("u"), F.col("component_id").alias("v"))
+    return rows.join(near_copies(rows, more=alike), ROW, "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

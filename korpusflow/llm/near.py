@@ -287,7 +287,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", more: DataFrame | None = None) -> DataFrame:
     """__row of every row but one of each group; docs has a unique column __row (long) and is stored.
 
     A group is connected by pairs whose sets of five-word shingles have a
@@ -300,7 +300,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     large group of copies gives few rows; no task holds a list of more than
     about 2 * BLOCK members.  Each candidate is verified by its
     texts.  Sets are known by 64-bit hashes.
-    Texts without words are equal.
+    Texts without words are equal.  more: further links between rows (u, v: __row), that join groups too.
     """
     common = _common(docs, text_col)
 
@@ -335,12 +335,16 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     roots = connected(links, "near-components")
     # what the forests' edges that failed leave open
     open_lists = long.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("h", "node", "n", "sketch", "blocks", F.coalesce("root", "node").alias("root"))
-    more = stored(_allowed(_long_lists(open_lists).join(pairs, ["u", "v"], "left_anti"), sketches), "near-pairs")
-    if not more.isEmpty():
-        more_links = stored(_verified(more, _texts(more, rows, docs, text_col)), "near-links")
-        roots = connected(roots.unionByName(more_links), "near-components")
-        discard(more_links)
-    discard(more, long, pairs, links)
+    open_pairs = stored(_allowed(_long_lists(open_lists).join(pairs, ["u", "v"], "left_anti"), sketches), "near-pairs")
+    if not open_pairs.isEmpty():
+        open_links = stored(_verified(open_pairs, _texts(open_pairs, rows, docs, text_col)), "near-links")
+        roots = connected(roots.unionByName(open_links), "near-components")
+        discard(open_links)
+    discard(open_pairs, long, pairs, links)
+    if more is not None:
+        node = lambda c: rows.select(F.col("__row").alias(c), F.col("node").alias(f"node_{c}"))
+        others = more.join(node("u"), "u").join(node("v"), "v").where("node_u != node_v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+        roots = connected(roots.unionByName(others), "near-components")
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__row"))
     of = rows.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("__row", F.coalesce("root", "node").alias("root"))
     of = of.join(docs.select("__row", F.col(id_col).alias("id")), "__row").select("root", key.alias("key"))
