@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusflow.functions.text import tokens
+from korpusflow.functions.arrow import pieces, token_array
 from korpusflow.operators.concordance import phrase_lexemes
 from korpusflow.operators.morphology import Dictionary, annotate
 from korpusflow.operators.search import K1, B, query_lexemes
 from korpusflow.sources import snapshots
-from korpusflow.sources.scratch import stored
+from korpusflow.sources.scratch import discard, stored
 
 #: Folders that lexemes are dealt to.
 BUCKETS = 64
@@ -64,6 +67,41 @@ class Index:
         return rows.select("lexeme_id", "lemma", "chunk", row, F.get("lengths", F.col("k")).alias("n"), F.get("tfs", F.col("k")).alias("tf"), *([F.get("places", F.col("k")).alias("places")] if positions else []))
 
 
+def _lengths(texts: DataFrame) -> DataFrame:
+    """row, doc_id, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 2):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(token_array(b.column(2))[1])], ["row", "doc_id", "n"])
+
+    return texts.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long")
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """surface, chunk, m (row, n, places): postings of each surface in a range of rows, grouped where the texts are read; a range that is read in parts gives some for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            flat, sizes = token_array(b.column(1))
+            if not len(flat):
+                continue
+            words, rows = flat.dictionary_encode(), b.column(0).to_numpy()
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            code, chunk = words.indices.to_numpy(), rows[text] >> CHUNK
+            order = np.lexsort((rows[text], code, chunk))  # stable: places stay in order
+            code, chunk, text, place = code[order], chunk[order], text[order], (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+            block = np.r_[True, (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])]
+            posting = np.flatnonzero(block | np.r_[True, text[1:] != text[:-1]])
+            first = np.flatnonzero(block)
+            own = text[posting]
+            places = pa.ListArray.from_arrays(pa.array(np.r_[posting, len(flat)], pa.int32()), pa.array(place.astype(np.int32)))
+            members = pa.StructArray.from_arrays([pa.array(rows[own]), pa.array(sizes[own].astype(np.int64)), places], ["row", "n", "places"])
+            m = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(posting, first), len(posting)], pa.int32()), members)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), pa.array(chunk[first]), m], ["surface", "chunk", "m"])
+
+    return texts.select("row", "text").mapInArrow(run, "surface string, chunk long, m array<struct<row: long, n: long, places: array<int>>>")
+
+
 def build_index(corpus: DataFrame, path: str, dictionary: Dictionary | None = None) -> Index:
     """Writes the index of a corpus as a new version of the snapshot at `path`.
 
@@ -72,23 +110,28 @@ def build_index(corpus: DataFrame, path: str, dictionary: Dictionary | None = No
     are kept as their distance from the range's first, beside each block's highest weight in BM25.
     """
     spark = corpus.sparkSession
-    docs = stored(corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w").cast("long")), "index-rows")
+    texts = stored(corpus.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "index-rows")
+    docs = stored(_lengths(texts), "index-docs")
     files, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     average = words / files if files and words else 1.0
-    rows = annotate(docs.select("row", "n", F.posexplode("w").alias("at", "surface")), dictionary)
-    each = rows.groupBy("lexeme_id", "lemma", "row", "n").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    each = each.withColumn("tf", F.size("places").cast("long"))
-    members = F.array_sort(F.collect_list(F.struct("row", "n", "tf", "places")))
-    blocks = each.groupBy("lexeme_id", "lemma", F.shiftright("row", CHUNK).alias("chunk")).agg(members.alias("m"), F.max(_weight(F.col("tf"), F.col("n"), average)).alias("best"))
-    field = lambda name: F.transform("m", lambda x: x[name])
-    blocks = blocks.select("lexeme_id", "lemma", "chunk", "best", F.transform(field("row"), lambda r: (r - F.shiftleft("chunk", CHUNK)).cast("int")).alias("rows"), field("n").alias("lengths"), field("tf").alias("tfs"), field("places").alias("places"))
-    blocks = stored(blocks, "index-blocks")
-    terms = blocks.groupBy("lexeme_id", "lemma").agg(F.sum(F.size("rows")).alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occ"))
-    dealt = lambda df: df.withColumn("bucket", _bucket(F.col("lexeme_id"), F.col("lemma")))
-    # common lexemes have many blocks: their chunks deal them to more tasks than one for each bucket
-    spread = dealt(blocks).repartition("bucket", F.pmod(F.xxhash64("lexeme_id", "chunk"), F.lit(4))).sortWithinPartitions("bucket", "lexeme_id", "chunk")
+    keys = ["lexeme_id", "lemma", "chunk"]
+    found = annotate(_blocks(texts), dictionary)
+    parts = found.select(*keys, "m")
+    if dictionary is not None:  # a known lexeme may have several surfaces in a row
+        known = found.where("lexeme_id >= 0").select(*keys, F.inline("m")).groupBy(*keys, "row", "n").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+        known = known.groupBy(*keys).agg(F.collect_list(F.struct("row", "n", "places")).alias("m"))
+        parts = parts.where("lexeme_id < 0").unionByName(known)
+    # common lexemes have many blocks: their chunks deal them to more tasks than one for each bucket; one shuffle groups and deals
+    dealt = parts.withColumn("bucket", _bucket(F.col("lexeme_id"), F.col("lemma"))).withColumn("part", F.pmod(F.xxhash64("lexeme_id", "chunk"), F.lit(4)))
+    blocks = dealt.repartition("bucket", "part").groupBy("bucket", "part", *keys).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    blocks = blocks.withColumns({"rows": F.transform("m", lambda x: (x["row"] - F.shiftleft("chunk", CHUNK)).cast("int")), "lengths": F.transform("m", lambda x: x["n"]), "tfs": F.transform("m", lambda x: F.size(x["places"]).cast("long")), "places": F.transform("m", lambda x: x["places"])})
+    best = F.array_max(F.zip_with("tfs", "lengths", lambda tf, n: _weight(tf, n, average)))
+    blocks = blocks.select("bucket", *keys, best.alias("best"), "rows", "lengths", "tfs", "places").sortWithinPartitions("bucket", "lexeme_id", "chunk")
+    count = lambda at: spark.read.parquet(f"{at}/postings").groupBy("bucket", "lexeme_id", "lemma").agg(F.sum(F.size("rows")).alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occ"))
     total = spark.createDataFrame([(files, words)], "files long, words long")
-    at = snapshots.publish(spark, path, {"docs": docs.select("row", "doc_id", "n"), "postings": spread, "terms": dealt(terms).repartition("bucket"), "totals": total}, {"postings": ("bucket",), "terms": ("bucket",)})
+    tables = {"docs": docs, "postings": blocks, "terms": lambda at: count(at).repartition("bucket"), "totals": total}
+    at = snapshots.publish(spark, path, tables, {"postings": ("bucket",), "terms": ("bucket",)})
+    discard(texts, docs)
     return Index(spark, at, files, words, dictionary)
 
 
