@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from korpusflow.functions.arrow import pieces, token_array
 from korpusflow.operators.concordance import phrase_lexemes
-from korpusflow.operators.morphology import Dictionary, annotate
+from korpusflow.operators.morphology import Dictionary, unknown_columns
 from korpusflow.operators.search import K1, B, query_lexemes
 from korpusflow.sources import snapshots
 from korpusflow.sources.scratch import discard, stored
@@ -22,6 +22,8 @@ from korpusflow.sources.scratch import discard, stored
 BUCKETS = 64
 #: A block holds one lexeme's postings of at most 2^CHUNK rows that follow each other.
 CHUNK = 7
+#: Slices of the buckets that are shuffled one after the other, at most, and one for each 2^WORDS words.
+SLICES, WORDS = 8, 20
 
 Lexeme = tuple[int, str]
 
@@ -102,6 +104,25 @@ def _blocks(texts: DataFrame) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "surface string, chunk long, m array<struct<row: long, n: long, places: array<int>>>")
 
 
+def _one_each(m: Column) -> Column:
+    """The postings of a block with one for each row: a known lexeme may have several surfaces in a row."""
+    rows = F.transform(m, lambda x: x["row"])
+    own = lambda row: F.filter(m, lambda x: x["row"] == row)
+    merged = F.transform(F.array_distinct(rows), lambda row: F.struct(row.alias("row"), F.get(own(row), F.lit(0))["n"].alias("n"), F.array_sort(F.flatten(F.transform(own(row), lambda x: x["places"]))).alias("places")))
+    return F.when(F.size(F.array_distinct(rows)) == F.size(rows), m).otherwise(merged)
+
+
+def _grouped(dealt: DataFrame, several: bool, average: float) -> DataFrame:
+    """The blocks of postings from their parts; several: a lexeme may have some surfaces."""
+    keys = ["lexeme_id", "lemma", "chunk"]
+    blocks = dealt.repartition("bucket", "part").groupBy("bucket", "part", *keys).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    if several:
+        blocks = blocks.withColumn("m", _one_each(F.col("m")))
+    blocks = blocks.withColumns({"rows": F.transform("m", lambda x: (x["row"] - F.shiftleft("chunk", CHUNK)).cast("int")), "lengths": F.transform("m", lambda x: x["n"]), "tfs": F.transform("m", lambda x: F.size(x["places"]).cast("long")), "places": F.transform("m", lambda x: x["places"])})
+    best = F.array_max(F.zip_with("tfs", "lengths", lambda tf, n: _weight(tf, n, average)))
+    return blocks.select("bucket", *keys, best.alias("best"), "rows", "lengths", "tfs", "places").sortWithinPartitions("bucket", "lexeme_id", "chunk")
+
+
 def build_index(corpus: DataFrame, path: str, dictionary: Dictionary | None = None) -> Index:
     """Writes the index of a corpus as a new version of the snapshot at `path`.
 
@@ -115,23 +136,22 @@ def build_index(corpus: DataFrame, path: str, dictionary: Dictionary | None = No
     files, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     average = words / files if files and words else 1.0
     keys = ["lexeme_id", "lemma", "chunk"]
-    found = annotate(_blocks(texts), dictionary)
-    parts = found.select(*keys, "m")
-    if dictionary is not None:  # a known lexeme may have several surfaces in a row
-        known = found.where("lexeme_id >= 0").select(*keys, F.inline("m")).groupBy(*keys, "row", "n").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-        known = known.groupBy(*keys).agg(F.collect_list(F.struct("row", "n", "places")).alias("m"))
-        parts = parts.where("lexeme_id < 0").unionByName(known)
+    found, kept = _blocks(texts), []
+    if dictionary is not None:  # stored, so that its size is known and a small one is broadcast
+        kept.append(stored(dictionary.resolution().select("surface", "lexeme_id", "lemma"), "index-words"))
+        found = found.join(kept[0], "surface", "left")
+    unknown = unknown_columns()
+    parts = found.select(*((F.coalesce(k, unknown[k]) if dictionary is not None else unknown[k]).alias(k) for k in keys[:2]), "chunk", "m")
     # common lexemes have many blocks: their chunks deal them to more tasks than one for each bucket; one shuffle groups and deals
     dealt = parts.withColumn("bucket", _bucket(F.col("lexeme_id"), F.col("lemma"))).withColumn("part", F.pmod(F.xxhash64("lexeme_id", "chunk"), F.lit(4)))
-    blocks = dealt.repartition("bucket", "part").groupBy("bucket", "part", *keys).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
-    blocks = blocks.withColumns({"rows": F.transform("m", lambda x: (x["row"] - F.shiftleft("chunk", CHUNK)).cast("int")), "lengths": F.transform("m", lambda x: x["n"]), "tfs": F.transform("m", lambda x: F.size(x["places"]).cast("long")), "places": F.transform("m", lambda x: x["places"])})
-    best = F.array_max(F.zip_with("tfs", "lengths", lambda tf, n: _weight(tf, n, average)))
-    blocks = blocks.select("bucket", *keys, best.alias("best"), "rows", "lengths", "tfs", "places").sortWithinPartitions("bucket", "lexeme_id", "chunk")
+    # the texts are read once for each slice of the buckets, so only a slice's shuffle is on disk at once
+    slices = max(1, min(SLICES, words >> WORDS))
+    postings = [_grouped(dealt.where(F.col("bucket") % slices == k), dictionary is not None, average) for k in range(slices)]
     count = lambda at: spark.read.parquet(f"{at}/postings").groupBy("bucket", "lexeme_id", "lemma").agg(F.sum(F.size("rows")).alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occ"))
     total = spark.createDataFrame([(files, words)], "files long, words long")
-    tables = {"docs": docs, "postings": blocks, "terms": lambda at: count(at).repartition("bucket"), "totals": total}
+    tables = {"docs": docs, "postings": postings, "terms": lambda at: count(at).repartition("bucket"), "totals": total}
     at = snapshots.publish(spark, path, tables, {"postings": ("bucket",), "terms": ("bucket",)})
-    discard(texts, docs)
+    discard(texts, docs, *kept)
     return Index(spark, at, files, words, dictionary)
 
 
